@@ -7,6 +7,7 @@ from urllib.parse import urljoin, urlsplit, urlunsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _SKIPPED = r"^(mailto:|javascript:|#|\\#)"
 
@@ -82,7 +83,7 @@ def resolve(base: str | None, href: str | None) -> str | None:
     return urlunsplit((joined.scheme, where, joined.path or "/", joined.query, joined.fragment))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def resolved(base: pd.Series, href: pd.Series) -> pd.Series:
     """Column form of ``resolve``."""
     return pd.Series([resolve(b, h) for b, h in zip(base, href, strict=True)], dtype=object)
