@@ -83,7 +83,11 @@ def resolve(base: str | None, href: str | None) -> str | None:
     return urlunsplit((joined.scheme, where, joined.path or "/", joined.query, joined.fragment))
 
 
-@F.pandas_udf(StringType())
-def resolved(base: pd.Series, href: pd.Series) -> pd.Series:
-    """Column form of ``resolve``."""
-    return pd.Series([resolve(b, h) for b, h in zip(base, href, strict=True)], dtype=object)
+def resolved():
+    """Column form of ``resolve``: a function of two columns, made when a session is there."""
+
+    @F.pandas_udf(StringType())
+    def run(base: pd.Series, href: pd.Series) -> pd.Series:
+        return pd.Series([resolve(b, h) for b, h in zip(base, href, strict=True)], dtype=object)
+
+    return run

@@ -71,11 +71,11 @@ def delete_sites(ids: DataFrame, sites: DataFrame, children: Sequence[DataFrame]
     return sites.join(gone, "id", "left_anti"), [c.join(gone.withColumnRenamed("id", "site_id"), "site_id", "left_anti").select(*c.columns) for c in children]
 
 
-def swap(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
+def swap(df: DataFrame, path: str, partition_by: Sequence[str] = (), form: str = "parquet") -> DataFrame:
     """Writes the snapshot beside ``path``, then puts it there; the table before stays readable until the rename."""
     spark = df.sparkSession
     staged, old = f"{path}.{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(staged)
+    df.write.format(form).partitionBy(*partition_by).save(staged)
     jvm = spark._jvm
     to = lambda p: jvm.org.apache.hadoop.fs.Path(p)
     fs = to(path).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -86,7 +86,7 @@ def swap(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFram
         raise OSError(f"{staged} can't be moved to {path}")
     if existed:
         fs.delete(to(old), True)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.format(form).schema(df.schema).load(path)
 
 
 def compact(spark: SparkSession, path: str, target_mb: int = 128, partition_by: Sequence[str] = ()) -> DataFrame:

@@ -53,7 +53,7 @@ def batch_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, query_key:
         return out
     rows = blocks.collect()  # at most most_queries
     ids = [r[0] for r in rows]
-    q = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
+    q = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1 if rows else 0)
     qn = (q * q).sum(axis=1)
     q_type, v_type = queries.schema[query_key].dataType, vectors.schema[key].dataType
     shared = vectors.sparkSession.sparkContext.broadcast((ids, q, qn))
