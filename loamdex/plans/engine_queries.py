@@ -142,11 +142,10 @@ def sites_by_status(spark, sf_dir):
     return C.sites_by_status(_Tables(spark, sf_dir).sites, "failed").select("id", "name", "version", "created_date")
 
 
-@query("select id, row_number() over (order by created_date desc, id) as position from sites")
+@query("select id, name, created_date from sites order by created_date desc, id")
 def sites_latest_first(spark, sf_dir):
-    """Every site with its place in the list, created last first."""
-    order = F.sort_array(F.collect_list(F.struct((-F.unix_micros(F.col("created_date").cast("timestamp"))).alias("t"), "id")))
-    return _Tables(spark, sf_dir).sites.agg(order.alias("a")).select(F.posexplode("a").alias("p", "s")).select(F.col("s.id").alias("id"), (F.col("p") + 1).cast("long").alias("position"))
+    """Every site, created last first."""
+    return C.latest_sites(_Tables(spark, sf_dir).sites).select("id", "name", "created_date")
 
 
 @query("select id, name, version from sites order by name, version")

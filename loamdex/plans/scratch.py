@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 _local: dict[str, str] = {}
+_made: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -33,5 +34,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` once as a shared table and returns the table, so that no later step computes it again."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the shared tables that this process wrote; results that still read them are over then."""
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

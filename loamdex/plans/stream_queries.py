@@ -13,7 +13,12 @@ from loamdex.sources.tables import table
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parquet")
+    """A table as a stream of files; a table that is one file is picked out of its folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    reader = spark.readStream.schema(table(spark, sf_dir, name).schema)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile():
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _result(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:

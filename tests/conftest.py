@@ -20,6 +20,9 @@ def spark():
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    from loamdex.plans.scratch import release
+
+    release(s)
     s.stop()
 
 
