@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from loamdex.sources.tables import table
 
-SAMPLE, SAMPLE_CHARS = 4_000, 20_000
+SAMPLE, SAMPLE_CHARS = 2_000, 20_000
 #: Penalties in nats for a switch between two words of one block, and of two.
 INSIDE, BETWEEN = 12.0, 4.0
 #: Share of the character model in a word's score, and the most that one word can say against a language.
@@ -48,19 +48,24 @@ _STARTS = [s for s, _ in _RANGES]
 
 _LINE_END = re.compile(r"\r\n|\r|\n")
 _FENCE = re.compile(r"\s*(```|~~~)")
+#: Code spans, quotations, tags, escapes and addresses; every alternative starts with a character that is rare in prose.
 _NOT_PROSE = re.compile(
     r"`[^`]*`"
-    r"|“[^”“]*[”“]|„[^“”„]*[“”]|«[^»]*»|»[^«]*«|「[^」]*」|『[^』]*』|\"[^\"\n]*\"|&\w+;"
-    r"|</?\w[^>\n]*>|\[[A-Z]{2,}\]|\\\w+"
-    r"|\b\w+://\S+|\bwww\.\S+|\]\([^)\n]*\)"
-    r"|[^\s(（「]*(?:[_\d]|::|--)[^\s。、]*"
-    r"|\b\w+(?:\.\w+)+\b"
-    r"|\b[a-z]+[A-Z]\w*|\b(?:[A-Z][a-z]+){2,}\b"
+    r"|“[^”“]*[”“]|„[^“”„]*[“”]|«[^»]*»|»[^«]*«|「[^」]*」|『[^』]*』|\"[^\"\n]*\""
+    r"|&\w+;|</?\w[^>\n]*>|\[[A-Z]{2,}\]|\\\w+|\]\([^)\n]*\)|--[\w-]+"
 )
-_WORD = re.compile(r"[^\W\d_]+")
+#: A word, or a longer run that is an identifier or address as a whole.
+_RUN = re.compile(r"\w+(?:://\S+|(?:(?:::|\.)\w+)*)")
+_CAMEL = re.compile(r"[a-z]+[A-Z]|(?:[A-Z][a-z]+){2}")
 _FOLD = str.maketrans({"ł": "l", "ø": "o", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe", "ı": "i"})
 
 
+def prose_words(text: str) -> list[str]:
+    """Words of letters, without identifiers."""
+    found = [w for w in _RUN.findall(_NOT_PROSE.sub(" ", text)) if w.isalpha()]
+    return [w for w in found if w.islower() or w.istitle() or w.isupper() or not _CAMEL.match(w)]
+
+
 def script(ch: str) -> str:
     return _RANGES[bisect_right(_STARTS, ord(ch)) - 1][1]
 
@@ -105,7 +110,7 @@ def blocks_of(text: str) -> list[list[str]]:
             continue
         lines.append(line)
     for b in kept:
-        blocks.append(_WORD.findall(_NOT_PROSE.sub(" ", b.split("\0")[0])) if b else [])
+        blocks.append(prose_words(b.split("\0")[0]) if b else [])
     return blocks
 
 
@@ -167,20 +172,25 @@ class Labeller:
 
     def __init__(self, model: Model):
         self.model = model
-        self.known: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
-        self.single = {}
+        self.single: dict[str, int] = {}
+        self.size = 0
+        self.rows = np.zeros((1 << 12, len(model.langs)), np.float32)
         for s, c in model.by_script.items():
             if len(c) == 1:
-                self.single[s] = len(self.rows)
                 row = np.full(len(model.langs), -MOST, np.float32)
                 row[c[0]] = 0
-                self.rows.append(row)
-        self.fixed = list(self.rows)
+                self.single[s] = self._add(row)
+        self.fixed = self.size
+        self.known: dict[str, int] = {}
+
+    def _add(self, row: np.ndarray) -> int:
+        if self.size == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[self.size] = row
+        self.size += 1
+        return self.size - 1
 
     def ids(self, words: list[str]) -> list[int]:
-        if len(self.known) > 300_000:
-            self.known, self.rows = {}, list(self.fixed)
         known, out = self.known, []
         for w in words:
             i = known.get(w)
@@ -188,20 +198,23 @@ class Labeller:
                 if w[0] > "ͯ" and (i := self.single.get(script(w[0]))) is not None:
                     out += [i] * ((len(w) + 2) // 3)  # no blanks between words: three letters count as one
                     continue
-                i = known[w] = len(self.rows)
-                self.rows.append(self.model.score(w))
+                i = known[w] = self._add(self.model.score(w))
             out.append(i)
         return out
 
     def segments(self, text: str | None) -> list[tuple[int, int, str, float]]:
         """First and last block, language and confidence of each segment."""
+        if text and not text.isascii():
+            text = unicodedata.normalize("NFC", text)
         blocks = blocks_of(text) if text else []
-        ids = [self.ids(b) for b in blocks]
+        if len(self.known) > 300_000:  # between texts only, so that the rows of one text stay
+            self.known, self.size = {}, self.fixed
+        ids = [self.ids(b) if b else b for b in blocks]
         at = [k for k, b in enumerate(ids) if b]
         if not at or sum(map(len, ids)) < LEAST_WORDS:
             return []
-        table_ = self.rows
-        sums = np.stack([np.sum([table_[i] for i in ids[k]], axis=0) for k in at])
+        starts = np.cumsum([0, *(len(ids[k]) for k in at[:-1])])
+        sums = np.add.reduceat(self.rows[[i for k in at for i in ids[k]]], starts, axis=0)
         best = sums.argmax(axis=1)
         labels = best.tolist() if (best == best[0]).all() else self._viterbi([ids[k] for k in at], sums)
         out: list[list] = []
