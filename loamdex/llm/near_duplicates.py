@@ -7,7 +7,8 @@ after each batch the pair is dropped if the posterior probability (uniform prior
 reaches the threshold is below ``miss``. Survivors are compared by their whole shingle sets.
 
 A text that a third of all records share is one class. Buckets are joined, not collected; a hot bucket of
-different texts is split by adaptive skew handling, and a pair that meets in several buckets is verified once.
+different texts is cut into parts that meet two by two in tasks of their own, and a pair that meets in several
+buckets is verified once.
 
 ``near_duplicate_groups`` returns one row per record with its class and component and its number of links to
 other texts, ``near_duplicate_pairs`` all pairs. Parameters as shipped for p2: three words, similarity of 0.6,
@@ -160,13 +161,30 @@ def _verified(candidates: DataFrame, classes: DataFrame, threshold: float, batch
     return with_both(likely, "set").mapInArrow(exact, "a binary, b binary, sim double")
 
 
-def class_links(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, threshold: float = 0.8, least_words: int = 0, bands: int = 24, rows: int = 3, size: int = 64, batch: int = 16, miss: float = 1e-4) -> tuple[DataFrame, DataFrame]:
+def _candidates(entries: DataFrame, bucket_rows: int) -> DataFrame:
+    """a < b of all classes that share a bucket.
+
+    A bucket of more than ``bucket_rows`` classes is cut into parts, and every two parts meet in a task of their
+    own; the counts come from the partitions in which the entries already are."""
+    sizes = entries.groupBy("bucket").agg(F.ceil(F.count("*") / bucket_rows).alias("parts")).where("parts > 1")
+    sized = entries.join(sizes, "bucket", "left")
+    cold = sized.where("parts is null").select("bucket", "fp")
+    pairs = cold.withColumnRenamed("fp", "a").join(cold.withColumnRenamed("fp", "b"), "bucket").where("a < b").select("a", "b")
+    part = sized.where("parts is not null").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("long"))
+    met = part.select("bucket", "fp", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("other"))
+    met = met.select("bucket", "fp", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi")).repartition("bucket", "lo", "hi")
+    x, y = (met.select("bucket", "lo", "hi", F.col("fp").alias(n), F.col("part").alias(f"part_{n}")) for n in "ab")
+    hot = x.join(y, ["bucket", "lo", "hi"]).where((F.col("a") < F.col("b")) & ((F.col("part_a") != F.col("part_b")) | (F.col("lo") == F.col("hi")))).select("a", "b")
+    return pairs.unionByName(hot)
+
+
+def class_links(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, threshold: float = 0.8, least_words: int = 0, bands: int = 24, rows: int = 3, size: int = 64, batch: int = 16, miss: float = 1e-4, bucket_rows: int = 4096) -> tuple[DataFrame, DataFrame]:
     """Links a < b between classes with their similarity, and the classes' members (id, fp)."""
     found = materialize(_features(df, id_col, text_col, shingle, least_words, bands, rows, size), "shingles")
     members = found.select("id", "fp").distinct()
     classes = found.groupBy("fp").agg(F.first("sig").alias("sig"), F.first("set").alias("set"))
     entries = found.select("fp", F.explode("bands").alias("bucket")).repartition("bucket").dropDuplicates(["bucket", "fp"])
-    candidates = entries.select("bucket", F.col("fp").alias("a")).join(entries.select("bucket", F.col("fp").alias("b")), "bucket").where(F.col("a") < F.col("b")).select("a", "b").distinct()
+    candidates = _candidates(entries, bucket_rows).distinct()
     return _verified(candidates, classes, threshold, batch, size, miss), members
 
 

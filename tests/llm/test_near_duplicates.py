@@ -42,6 +42,17 @@ def test_defined_cases(spark):
     assert nd.near_duplicate_pairs(df.limit(0), "id", "content").count() == 0
 
 
+def test_hot_buckets_lose_no_link(spark):
+    """Texts of one family share many buckets; cut into parts they give the same pairs."""
+    base = [f"w{k}" for k in range(60)]
+    rows = [(f"{k:03}", " ".join(base[:k] + [f"new{k}"] + base[k:])) for k in range(60)]
+    df = spark.createDataFrame(rows, "id string, content string")
+    truth, _ = brute(rows)
+    for bucket_rows in (7, 4096):
+        got = [(r.id_a, r.id_b) for r in nd.near_duplicate_pairs(df, "id", "content", shingle=3, threshold=0.6, least_words=20, bucket_rows=bucket_rows).collect()]
+        assert len(got) == len(set(got)) and set(got) == truth
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(f"{k:03}", f"{k + 1:03}") for k in range(60)] + [("x", "y")], "a string, b string")
     got = {r.node: r.root for r in nd.components(links).collect()}
