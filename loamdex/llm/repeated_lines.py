@@ -138,7 +138,7 @@ def site_pages(pages: DataFrame, sites: DataFrame) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every occurrence of a line that is on at least 5 pages of one website."""
     pages = site_pages(table(spark, sf_dir, "extracted_pages"), table(spark, sf_dir, "sites"))
-    return repeated_lines(pages).select("page_id", "section_no", "line_no")
+    return repeated_lines(pages).select("page_id", F.col("section_no").cast("long").alias("section_no"), F.col("line_no").cast("long").alias("line_no"))
 
 
 def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,8 +150,8 @@ def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 P3_FOUND_SQL = r"""
 with src as (select id, regexp_replace(regexp_replace(lower(trim(base_url)), '^[a-z][a-z0-9+.-]*://', ''), '/$', '') as source from sites),
 pages as (select distinct on (page_id) page_id, site_id, sections from extracted_pages),
-s as (select page_id, source, unnest(sections).content as content, cast(generate_subscripts(sections, 1) - 1 as integer) as section_no from pages join src on src.id = pages.site_id),
-l as (select page_id, source, section_no, unnest(string_split(content, chr(10))) as line, cast(generate_subscripts(string_split(content, chr(10)), 1) - 1 as integer) as line_no from s),
+s as (select page_id, source, unnest(sections).content as content, cast(generate_subscripts(sections, 1) - 1 as bigint) as section_no from pages join src on src.id = pages.site_id),
+l as (select page_id, source, section_no, unnest(string_split(content, chr(10))) as line, cast(generate_subscripts(string_split(content, chr(10)), 1) - 1 as bigint) as line_no from s),
 k as (select page_id, source, section_no, line_no, regexp_replace(regexp_replace(regexp_replace(line, '[\s\x{85}\x{0b}\p{Z}]+', ' ', 'g'), '^ | $', '', 'g'), '[0-9]+', '0', 'g') as line from l),
 c as (select source, lower(line) as line from k where length(line) >= 15 group by all having count(distinct page_id) >= 5)
 select page_id, section_no, line_no from k join c on c.source = k.source and c.line = lower(k.line)
