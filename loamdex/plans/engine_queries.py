@@ -17,7 +17,7 @@ from loamdex.operators import reconcile as O
 from loamdex.operators import search as S
 from loamdex.operators.chunking import chunk_documents, chunk_rows, sentence_chunks
 from loamdex.operators.embed import HashingEmbedder, embed_column
-from loamdex.operators.extract import page_sections
+from loamdex.operators.extract import extract_pages, page_links, page_sections
 from loamdex.operators.frontier import closure
 from loamdex.sources.tables import table
 
@@ -470,6 +470,34 @@ def page_sections_rows(spark, sf_dir):
     return got.select("page_id", "section_no", "heading_path", F.col("heading_level").cast("int").alias("heading_level"), "has_code_blocks")
 
 
+def _as_html(pages: DataFrame) -> DataFrame:
+    """Cached pages as HTML: headings, paragraphs, links and code of their Markdown as elements."""
+    text = F.col("raw_text")
+    for pattern, by in (("&", "&amp;"), ("<", "&lt;"), (r"(?m)^(```\w*)$", "<!--$1-->"), (r"(?m)^# (.*)$", "<h1>$1</h1>"), (r"(?m)^## (.*)$", "<h2>$1</h2>"), (r"(?m)^### (.*)$", "<h3>$1</h3>"), (r"\[([^\]]*)\]\(([^)\s]+)\)", "<a href=\"$2\">$1</a>"), (r"\n\s*\n", "\n<p>")):
+        text = F.regexp_replace(text, pattern, by)
+    page = F.concat(F.lit("<html><head><title>"), F.coalesce("title", F.lit("")), F.lit("</title></head><body><nav>menu</nav><main><p>"), text, F.lit("</main></body></html>"))
+    return pages.where("raw_text is not null").dropDuplicates(["page_id"]).repartition("page_id").select("page_id", "site_id", "url", page.alias("html"))
+
+
+@query()
+def page_extraction(spark, sf_dir):
+    """Title, and numbers of sections and links, of every page extracted from HTML."""
+    got = extract_pages(_as_html(table(spark, sf_dir, "extracted_pages")))
+    return got.select("page_id", "title", F.size("sections").alias("sections"), F.size("links").alias("links"), F.length("raw_text").alias("chars"))
+
+
+@query(r"""select distinct page_id, regexp_replace(origin || case when h like '/%' then h else d || h end, '/index\.[a-zA-Z0-9]+$', '/') as link from (
+ select page_id, lower(regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1)) as origin, regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1), '[^/]*$', '') as d, b, unnest(regexp_extract_all(raw_text, '\[[^\]]*\]\(([^)\s]+)\)', 1)) as h
+ from (select distinct on (page_id) * from extracted_pages where raw_text is not null) join (select id, regexp_replace(regexp_extract(base_url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1), '^$', '/') as p, case when p like '%/' then p else p || '/' end as b from sites) s on s.id = site_id)
+ where not starts_with(h, '#') and starts_with(case when h like '/%' then h else d || h end, b)""")
+def page_links_in_scope(spark, sf_dir):
+    """Links of every page that lie below its site's base."""
+    pages = _as_html(table(spark, sf_dir, "extracted_pages"))
+    got = extract_pages(pages).join(_Tables(spark, sf_dir).sites.select(F.col("id").alias("site_id"), U.part(F.col("base_url"), "PATH").alias("base_path")), "site_id")
+    base = F.concat(U.part(F.col("url"), "PROTOCOL"), F.lit("://"), U.part(F.col("url"), "HOST"), F.col("base_path"))
+    return page_links(got, base, "page_id")
+
+
 # --- URLs
 
 _HOST = "regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)"

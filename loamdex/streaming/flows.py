@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -51,3 +51,22 @@ def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame,
     query = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(each).start()
     query.awaitTermination()
     return query
+
+
+class Progress(StreamingQueryListener):
+    """Calls ``each`` with batch number and rows of every batch; ``spark.streams.addListener`` takes it."""
+
+    def __init__(self, each: Callable[[int, int], None]):
+        self.each = each
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.each(event.progress.batchId, event.progress.numInputRows)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass

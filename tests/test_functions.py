@@ -167,3 +167,14 @@ def test_long_and_deep_html():
 
 def test_rules_see_the_built_in_output():
     assert H.extract("<p>a <em>b</em></p>", rules={"em": lambda out, n: f"<{out}>"})["raw_text"] == "a <_b_>"
+
+
+def test_sql_functions(spark):
+    from loamdex.functions.sql import register
+
+    register(spark)
+    text = "Some words of a sentence. " * 200
+    rows = spark.sql(f"select c.* from values ('{text}'), (null) as t(x), lateral chunks_of(t.x, 100, 200) c order by chunk_index").collect()
+    assert [r.chunk_index for r in rows] == list(range(len(rows))) and len(rows) > 5
+    got = spark.sql("select s.heading_path, resolve_url('http://h.com/a/', 'b') as u from lateral sections_of('<h1>A</h1>x<h2>B</h2>y') s").collect()
+    assert [r.heading_path for r in got] == ["A", "A > B"] and got[0].u == "http://h.com/a/b"
