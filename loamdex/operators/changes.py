@@ -17,10 +17,10 @@ def insert_sites(sites: DataFrame, new: DataFrame, now: Column) -> DataFrame:
     """``sites`` and the new ones (index_url, base_url, name, version) as pending. Taken addresses, and names with version, are refused; ids go on from the largest."""
     fresh = new.dropDuplicates(["index_url"]).dropDuplicates(["name", "version"])
     fresh = fresh.join(sites.select("index_url"), "index_url", "left_anti").join(sites.select("name", "version"), ["name", "version"], "left_anti")
-    top = sites.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    top = sites.agg(F.max("id")).first()[0] or 0
     # Sites are added by hand, a few at a time: their numbers come from one sorted list.
-    numbered = fresh.agg(F.sort_array(F.collect_list(F.struct("index_url", "base_url", "name", "version"))).alias("a")).select(F.posexplode("a").alias("_n", "s")).crossJoin(F.broadcast(top))
-    given = {"id": (F.col("_top") + F.col("_n") + 1).cast("long"), "status": F.lit("pending"), "progress_percent": F.lit(0).cast("long"), "total_pages": F.lit(0).cast("long"), "indexed_pages": F.lit(0).cast("long"), "created_date": now}
+    numbered = fresh.agg(F.sort_array(F.collect_list(F.struct("index_url", "base_url", "name", "version"))).alias("a")).select(F.posexplode("a").alias("_n", "s"))
+    given = {"id": (F.lit(top) + F.col("_n") + 1).cast("long"), "status": F.lit("pending"), "progress_percent": F.lit(0).cast("long"), "total_pages": F.lit(0).cast("long"), "indexed_pages": F.lit(0).cast("long"), "created_date": now}
     rows = numbered.select(*(given[f.name].alias(f.name) if f.name in given else F.col(f"s.{f.name}").alias(f.name) if f.name in ("index_url", "base_url", "name", "version") else F.lit(None).cast(f.dataType).alias(f.name) for f in sites.schema.fields))
     return sites.unionByName(rows)
 

@@ -263,7 +263,7 @@ def heartbeat_activity(spark, sf_dir):
     """Activity of each user of the events at the moment of the last one."""
     e = table(spark, sf_dir, "events")
     last = e.groupBy(F.col("user_id").alias("id")).agg(F.max("ts").alias("last_heartbeat"))
-    return C.heartbeat_activity(last.crossJoin(F.broadcast(e.agg(F.max("ts").alias("now")))).withColumn("now", F.col("now")), F.col("now"))
+    return C.heartbeat_activity(last, F.lit(e.agg(F.max("ts").cast("string")).first()[0]).cast("timestamp_ntz"))
 
 
 @query("select site_id, count(*) as total_crawled, count(*) filter (o = 'successful') as successful, count(*) filter (o = 'failed') as failed, count(*) filter (o = 'robots_blocked') as robots_blocked from (select site_id, case status when 'completed' then 'successful' when 'failed' then 'failed' else 'robots_blocked' end as o from q where site_id is not null) group by all")
