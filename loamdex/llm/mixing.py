@@ -122,8 +122,9 @@ def shares(documents: DataFrame, targets: DataFrame, seed: int = 17, path: str =
     used, goals = _used(documents, targets, seed, path)
     reached = used.groupBy("source").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("source_tokens"), F.sum(F.col("n_tokens") * F.col("copies")).alias("reached_tokens"), F.max("copies").alias("most_copies"))
     out = goals.drop("steps").join(reached, "source", "left").fillna(0, ["documents", "source_tokens", "reached_tokens", "most_copies"])
-    whole = out.agg(F.sum("reached_tokens").alias("whole"))
-    return out.crossJoin(F.broadcast(whole)).withColumn("reached_share", F.when(F.col("whole") > 0, F.col("reached_tokens") / F.col("whole")).otherwise(0.0)).drop("whole")
+    # One row per target: they fit in one row, with the sum of what they reached.
+    gathered = out.groupBy().agg(F.sum("reached_tokens").alias("whole"), F.collect_list(F.struct(*out.columns)).alias("rows")).select("whole", F.inline("rows"))
+    return gathered.withColumn("reached_share", F.when(F.col("whole") > 0, F.col("reached_tokens") / F.col("whole")).otherwise(0.0)).drop("whole")
 
 
 def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
