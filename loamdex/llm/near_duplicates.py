@@ -28,7 +28,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamdex.plans.scratch import materialize
@@ -164,13 +164,13 @@ def _verified(candidates: DataFrame, classes: DataFrame, threshold: float, batch
 def _candidates(entries: DataFrame, bucket_rows: int) -> DataFrame:
     """a < b of all classes that share a bucket.
 
-    A bucket of more than ``bucket_rows`` classes is cut into parts, and every two parts meet in a task of their
-    own; the counts come from the partitions in which the entries already are."""
-    sizes = entries.groupBy("bucket").agg(F.ceil(F.count("*") / bucket_rows).alias("parts")).where("parts > 1")
-    sized = entries.join(sizes, "bucket", "left")
-    cold = sized.where("parts is null").select("bucket", "fp")
+    Most buckets hold one class and end here. A bucket of more than ``bucket_rows`` classes is cut into parts, and
+    every two parts meet in a task of their own."""
+    members = F.count("*").over(Window.partitionBy("bucket"))
+    shared = materialize(entries.withColumn("n", members).where("n > 1"), "shared-buckets")
+    cold = shared.where(F.col("n") <= bucket_rows).select("bucket", "fp")
     pairs = cold.withColumnRenamed("fp", "a").join(cold.withColumnRenamed("fp", "b"), "bucket").where("a < b").select("a", "b")
-    part = sized.where("parts is not null").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("long"))
+    part = shared.where(F.col("n") > bucket_rows).withColumn("parts", F.ceil(F.col("n") / bucket_rows)).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("long"))
     met = part.select("bucket", "fp", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("other"))
     met = met.select("bucket", "fp", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi")).repartition("bucket", "lo", "hi")
     x, y = (met.select("bucket", "lo", "hi", F.col("fp").alias(n), F.col("part").alias(f"part_{n}")) for n in "ab")
