@@ -175,12 +175,30 @@ def main_content(pages: DataFrame, template: DataFrame) -> DataFrame:
     """page_id and body: raw_text without its template lines; a page id once."""
     gone = template.groupBy("page_id").agg(F.collect_list("line_no").alias("gone"))
     once = pages.where("page_id is not null").select("page_id", "raw_text").dropDuplicates(["page_id"]).join(gone, "page_id", "left")
-    lines = F.transform(F.split("raw_text", "\n", -1), lambda line, i: F.struct(i.alias("i"), line.alias("line")))
+    lines = F.transform(F.split("raw_text", "\n", -1), lambda line, i: F.named_struct(F.lit("i"), i, F.lit("line"), line))
     kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("gone", x["i"]), F.lit(False)))
     body = F.array_join(F.transform(kept, lambda x: x["line"]), "\n")
     return once.select("page_id", F.regexp_replace(F.regexp_replace(body, r"(?U)(\s*\n){3,}", "\n\n"), r"(?U)^\s+|\s+$", "").alias("body"))
 
 
+def main_sections(pages: DataFrame, template: DataFrame) -> DataFrame:
+    """page_id, section_no, heading_path, content of the sections without the page's template lines, which are known there by their text without link and list markup; sections of nothing else drop out."""
+
+    def bare(line):
+        text = F.regexp_replace(line, r"\[([^\]]*)\]\([^)]*\)", "$1")
+        text = F.regexp_replace(F.regexp_replace(text, r"(?U)^\s*(?:[-*+•]|[0-9]+[.)]|#{1,6})\s+", ""), r"(?U)\s+", " ")
+        return F.lower(F.trim(text))
+
+    gone = template.groupBy("page_id").agg(F.collect_list("line_no").alias("gone"))
+    once = pages.where("page_id is not null").select("page_id", "raw_text", "sections").dropDuplicates(["page_id"]).join(gone, "page_id", "left")
+    lines = F.transform(F.split("raw_text", "\n", -1), lambda line, i: F.named_struct(F.lit("i"), i, F.lit("line"), line))
+    dropped = F.transform(F.filter(lines, lambda x: F.array_contains("gone", x["i"])), lambda x: bare(x["line"]))
+    each = once.select("page_id", F.coalesce(dropped, F.array().cast("array<string>")).alias("dropped"), F.posexplode("sections").alias("section_no", "s"))
+    kept = F.filter(F.split("s.content", "\n", -1), lambda x: ~F.array_contains("dropped", bare(x)))
+    content = F.regexp_replace(F.array_join(kept, "\n"), r"(?U)^\s+|\s+$", "")
+    return each.select("page_id", "section_no", F.col("s.heading_path").alias("heading_path"), content.alias("content")).where("content <> ''")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every non-blank line of a page that isn't part of its body."""
     found = template_lines(page_hosts(table(spark, sf_dir, "extracted_pages"), table(spark, sf_dir, "sites")))
@@ -193,5 +211,11 @@ def p4_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_content(pages, template_lines(page_hosts(pages, table(spark, sf_dir, "sites"))))
 
 
-QUERIES = {"p4_found": p4_found, "p4_body": p4_body}
+def p4_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The body of every section."""
+    pages = table(spark, sf_dir, "extracted_pages")
+    return main_sections(pages, template_lines(page_hosts(pages, table(spark, sf_dir, "sites"))))
+
+
+QUERIES = {"p4_found": p4_found, "p4_body": p4_body, "p4_sections": p4_sections}
 ORACLES: dict[str, str] = {}

@@ -45,3 +45,13 @@ def test_query(spark, sf):
     found = bp.p4_found(spark, sf)
     assert found.count() > 0 and set(found.columns) == {"page_id", "line_no"}
     assert bp.p4_body(spark, sf).count() > 0
+    assert bp.p4_sections(spark, sf).count() > 0
+
+
+def test_sections(spark):
+    text = "[Home](/home)\n\n# T\n\nbody [x](/y) text\n\n-   [Blog – a](/blog)\n-   kept item"
+    rows = [(1, text, [("Content", "Home"), ("T", "body x text\n•  Blog – a\n• kept item")]), (2, None, [("T", "as it is")]), (3, text, None)]
+    pages = spark.createDataFrame(rows, "page_id long, raw_text string, sections array<struct<heading_path string, content string>>")
+    template = spark.createDataFrame([(1, 0), (1, 6)], "page_id long, line_no int")
+    got = [(r.page_id, r.section_no, r.content) for r in bp.main_sections(pages, template).orderBy("page_id").collect()]
+    assert got == [(1, 1, "body x text\n• kept item"), (2, 0, "as it is")]
