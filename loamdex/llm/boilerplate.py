@@ -193,10 +193,18 @@ def main_sections(pages: DataFrame, template: DataFrame) -> DataFrame:
     once = pages.where("page_id is not null").select("page_id", "raw_text", "sections").dropDuplicates(["page_id"]).join(gone, "page_id", "left")
     lines = F.transform(F.split("raw_text", "\n", -1), lambda line, i: F.named_struct(F.lit("i"), i, F.lit("line"), line))
     dropped = F.transform(F.filter(lines, lambda x: F.array_contains("gone", x["i"])), lambda x: bare(x["line"]))
-    each = once.select("page_id", F.coalesce(dropped, F.array().cast("array<string>")).alias("dropped"), F.posexplode("sections").alias("section_no", "s"))
-    kept = F.filter(F.split("s.content", "\n", -1), lambda x: ~F.array_contains("dropped", bare(x)))
-    content = F.regexp_replace(F.array_join(kept, "\n"), r"(?U)^\s+|\s+$", "")
-    return each.select("page_id", "section_no", F.col("s.heading_path").alias("heading_path"), content.alias("content")).where("content <> ''")
+    known = F.coalesce(dropped, F.array().cast("array<string>"))
+
+    def cleaned(gone_here):
+        def one(section):
+            kept = F.filter(F.split(section["content"], "\n", -1), lambda x: ~F.array_contains(gone_here, bare(x)))
+            return F.named_struct(F.lit("heading_path"), section["heading_path"], F.lit("content"), F.regexp_replace(F.array_join(kept, "\n"), r"(?U)^\s+|\s+$", ""))
+
+        return F.transform("sections", one)
+
+    # Bound as the one element of an array, the page's template texts are computed once and not for each line.
+    sections = F.element_at(F.transform(F.array(known), cleaned), 1)
+    return once.select("page_id", F.posexplode(sections).alias("section_no", "s")).select("page_id", "section_no", "s.heading_path", "s.content").where("content <> ''")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
