@@ -125,8 +125,10 @@ def without_lines(pages: DataFrame, found: DataFrame) -> DataFrame:
     once = pages.where("page_id is not null").select("page_id", "sections").dropDuplicates(["page_id"])
     sections = once.join(gone, "page_id", "left").select("page_id", "gone", F.posexplode("sections").alias("section_no", "s"))
     of_section = F.transform(F.filter(F.coalesce("gone", F.array().cast("array<struct<section_no:int,line_no:int>>")), lambda g: g["section_no"] == F.col("section_no")), lambda g: g["line_no"])
-    kept = F.filter(F.transform(F.split("s.content", "\n", -1), lambda line, i: F.struct(i.alias("i"), line.alias("line"))), lambda x: ~F.array_contains("drop", x["i"]))
-    return sections.withColumn("drop", of_section).select("page_id", "section_no", F.array_join(F.transform(kept, lambda x: x["line"]), "\n").alias("content"))
+    lines = F.transform(F.split("s.content", "\n", -1), lambda line, i: F.named_struct(F.lit("i"), i, F.lit("line"), line))
+    # Bound as the one element of an array, a section's line numbers are computed once and not for each line.
+    kept = F.element_at(F.transform(F.array(of_section), lambda drop: F.filter(lines, lambda x: ~F.array_contains(drop, x["i"]))), 1)
+    return sections.select("page_id", "section_no", F.array_join(F.transform(kept, lambda x: x["line"]), "\n").alias("content"))
 
 
 def site_pages(pages: DataFrame, sites: DataFrame) -> DataFrame:
