@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamdex.plans.scratch import materialize
@@ -113,9 +113,10 @@ def repeated_lines(pages: DataFrame, least_pages: int = 5, least_chars: int = 15
     order = ["source", *(f"k{d}" for d in range(depth)), "page_id"]
     array = all_.repartitionByRange(*order).sortWithinPartitions(*order)
     seen = materialize(array.mapInArrow(_scan(least_pages, depth), "kind int, page_id long, section_no int, line_no int, lines int, block long"), "suffix-blocks")
-    edges = seen.where("kind > 0")
-    whole = edges.groupBy("block", "lines").agg(F.countDistinct("page_id").alias("pages")).where(F.col("pages") >= least_pages)
-    late = edges.where("kind = 1").join(whole, ["block", "lines"], "left_semi").select("page_id", "section_no", "line_no", "lines")
+    # What both sides of an edge know of a block is a few rows for each partition it reaches into.
+    pages_of = F.size(F.collect_set("page_id").over(Window.partitionBy("block", "lines")))
+    edges = seen.where("kind > 0").withColumn("pages", pages_of)
+    late = edges.where((F.col("kind") == 1) & (F.col("pages") >= least_pages)).select("page_id", "section_no", "line_no", "lines")
     return seen.where("kind = 0").select("page_id", "section_no", "line_no", "lines").unionByName(late).groupBy("page_id", "section_no", "line_no").agg(F.max("lines").alias("lines"))
 
 
