@@ -9,8 +9,8 @@ which that could change the result, at the threshold or at rank k, are ranked by
 
 Vectors with equal codes are one class and hashed once, so a vector that a third of all records share costs one
 row; the k members with the smallest ids stand for their class. A bucket of more than ``bucket_rows`` classes is
-hashed on by a further rotation, and parts that three rotations can't divide are cut by salt: their members are
-so close to each other that each part holds enough of the nearest ones.
+cut into parts, and every two parts meet in a task of their own: no pair of a bucket is left out, so the recall does
+not depend on the number of vectors. The work within a full bucket grows with the square of its classes.
 
 Parameters as shipped: 2 tables, 4 probes; measured recall of the pairs of ``p1_found`` is in the README.
 
@@ -37,7 +37,6 @@ from loamdex.sources.tables import table
 SLACK = 1e-5
 #: Pairs up to which the list of undecided pairs is broadcast (16 MB); beyond, the vectors are shuffled to it.
 BROADCAST_PAIRS = 1_000_000
-_LEVELS = 3
 
 
 @lru_cache(maxsize=64)
@@ -101,8 +100,8 @@ def unit_codes(df: DataFrame, id_col: str, vector_col: str, width: int) -> DataF
     return rows.mapInArrow(encode, "id string, key long, code binary")
 
 
-def _buckets(classes: DataFrame, width: int, tables: int, probes: int, bucket_rows: int) -> tuple[DataFrame, bool]:
-    """bucket, packed (key, axes of all tables, code); whether every bucket is a plain one of the first rotation."""
+def _buckets(classes: DataFrame, width: int, tables: int, probes: int, bucket_rows: int) -> DataFrame:
+    """bucket, lo, hi, part, packed (key, axes of all tables, code). (bucket, lo, hi) is a task in which two parts of a bucket meet."""
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,67 +115,58 @@ def _buckets(classes: DataFrame, width: int, tables: int, probes: int, bucket_ro
                 for p in range(probes):
                     yield pa.RecordBatch.from_arrays([pa.array((t << 16) + axes[:, t, p].astype(np.int64)), packed], ["bucket", "packed"])
 
-    def deepen(level: int):
-        def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                packed, old = batch.column("packed"), batch.column("bucket").to_numpy()
-                if not len(old):
-                    continue
-                tail = [b[-2 * width :] for b in packed.to_pylist()]
-                if level < _LEVELS:
-                    more = nearest_axes(_rows(tail, width), 1000 * level + 7, 2)
-                else:
-                    parts = batch.column("parts").to_numpy()
-                    more = np.array([[xxhash.xxh64_intdigest(b, seed=9) % int(p)] for b, p in zip(tail, parts, strict=True)])
-                for c in more.T:
-                    new = np.array([xxhash.xxh64_intdigest(np.array([o, level, m], np.int64).tobytes()) for o, m in zip(old, c, strict=True)], np.uint64).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(new), packed], ["bucket", "packed"])
-
-        return again
-
-    now, done = classes.mapInArrow(enter, "bucket long, packed binary"), []
-    for level in range(1, _LEVELS + 1):
-        full = now.groupBy("bucket").count().where(F.col("count") > bucket_rows).select("bucket", F.ceil(F.col("count") / bucket_rows).alias("parts"))
-        full = materialize(full, "full-buckets")
-        if full.isEmpty():
-            break
-        done.append(now.join(full, "bucket", "left_anti"))
-        now = now.join(full, "bucket").mapInArrow(deepen(level), "bucket long, packed binary")
-    for part in done:
-        now = now.unionByName(part)
-    return now, not done
-
-
-def _bucket_best(width: int, tables: int, probes: int, k: int, least: float, plain: bool):
-    """Of each row of a bucket, the k best others of the bucket with similarity of at least ``least``."""
+    entries = classes.mapInArrow(enter, "bucket long, packed binary")
+    full = entries.groupBy("bucket").count().where(F.col("count") > bucket_rows).select("bucket", F.ceil(F.col("count") / bucket_rows).alias("parts"))
+    full = materialize(full, "full-buckets")
+    none = F.lit(0).cast("long")
+    if full.isEmpty():
+        return entries.select("bucket", none.alias("lo"), none.alias("hi"), none.alias("part"), "packed")
+    # There are at most as many full buckets as signed axes in all tables.
+    cut = entries.join(F.broadcast(full), "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    cut = cut.withColumn("part", F.pmod(F.xxhash64("packed"), F.col("parts"))).withColumn("other", F.explode(F.sequence(none, F.col("parts") - 1)))
+    return cut.select("bucket", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "packed")
+
+
+def _bucket_best(width: int, tables: int, probes: int, k: int, least: float):
+    """Of each row of a bucket, or of one of its parts, the k best others there, or in the part it meets, with similarity of at least ``least``."""
     head = 8 + 2 * tables * probes
 
     def best(group: pa.Table) -> pa.Table:
         packed = group.column("packed").to_pylist()
         keys = np.frombuffer(b"".join(b[:8] for b in packed), np.int64)
         axes = np.frombuffer(b"".join(b[8:head] for b in packed), np.uint16).reshape(-1, tables, probes)
-        x, n = _rows([b[head:] for b in packed], width), len(packed)
-        bucket = group.column("bucket")[0].as_py()
+        x = _rows([b[head:] for b in packed], width)
+        bucket, lo, hi = (group.column(n)[0].as_py() for n in ("bucket", "lo", "hi"))
         this, axis = bucket >> 16, bucket & 0xFFFF
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for s in range(0, n, 1024):
-            sims = x[s : s + 1024] @ x.T
-            sims[np.arange(len(sims)), np.arange(s, s + len(sims))] = -2
-            floor = np.full(len(sims), least, np.float32)
-            if n > k:
-                floor = np.maximum(floor, np.partition(sims, n - k, axis=1)[:, n - k] - np.float32(SLACK))
-            r, c = np.nonzero(sims >= floor[:, None])
-            v = sims[r, c]
-            r += s
-            if plain and len(r):
-                first = np.ones(len(r), bool)
-                for t in range(this):
-                    first &= ~(axes[r, t][:, :, None] == axes[c, t][:, None, :]).any(axis=(1, 2))
-                a, b = axes[r, this], axes[c, this]
-                first &= ~((a[:, :, None] == b[:, None, :]) & (a[:, :, None] < axis)).any(axis=(1, 2))
-                r, c, v = r[first], c[first], v[first]
-            out.append((keys[r], keys[c], v))
-        a, b, v = (np.concatenate(z) for z in zip(*out, strict=True))
+
+        def meet(rows: np.ndarray, others: np.ndarray) -> None:
+            y, n = x[others], len(others)
+            for s in range(0, len(rows) if n else 0, 1024):
+                sims = x[rows[s : s + 1024]] @ y.T
+                if lo == hi:
+                    sims[np.arange(len(sims)), np.arange(s, s + len(sims))] = -2
+                floor = np.full(len(sims), least, np.float32)
+                if n > k:
+                    floor = np.maximum(floor, np.partition(sims, n - k, axis=1)[:, n - k] - np.float32(SLACK))
+                r, c = np.nonzero(sims >= floor[:, None])
+                v = sims[r, c]
+                r, c = rows[r + s], others[c]
+                if len(r):
+                    first = np.ones(len(r), bool)
+                    for t in range(this):
+                        first &= ~(axes[r, t][:, :, None] == axes[c, t][:, None, :]).any(axis=(1, 2))
+                    a, b = axes[r, this], axes[c, this]
+                    first &= ~((a[:, :, None] == b[:, None, :]) & (a[:, :, None] < axis)).any(axis=(1, 2))
+                    r, c, v = r[first], c[first], v[first]
+                out.append((keys[r], keys[c], v))
+
+        part = group.column("part").to_numpy()
+        one, two = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
+        meet(one, two)
+        if lo != hi:
+            meet(two, one)
+        a, b, v = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (keys[:0], keys[:0], np.zeros(0))
         return pa.table({"a": a, "b": b, "sim": v.astype(np.float32)})
 
     return best
@@ -205,8 +195,8 @@ def nearest_pairs(df: DataFrame, id_col: str = "id", vector_col: str = "vector",
     """id_a < id_b of all pairs found with cosine of at least ``least`` of which one is among the k most similar of the other."""
     units = unit_codes(df, id_col, vector_col, width)
     classes = units.groupBy("key").agg(F.first("code").alias("code"))
-    entries, plain = _buckets(classes, width, tables, probes, bucket_rows)
-    met = entries.groupBy("bucket").applyInArrow(_bucket_best(width, tables, probes, k, least - SLACK, plain), "a long, b long, sim float")
+    entries = _buckets(classes, width, tables, probes, bucket_rows)
+    met = entries.groupBy("bucket", "lo", "hi").applyInArrow(_bucket_best(width, tables, probes, k, least - SLACK), "a long, b long, sim float")
     near = met.groupBy("a").agg(F.array_distinct(F.sort_array(F.collect_list(F.struct((-F.col("sim")).alias("far"), "b")))).alias("near"))
     near = materialize(near.withColumn("edge", F.coalesce(F.try_element_at("near", F.lit(k))["far"], F.lit(9.0))), "neighbours")
 

@@ -57,3 +57,13 @@ def test_hot_buckets_are_divided(spark):
     got = {(r.id_a, r.id_b) for r in nb.nearest_pairs(df, width=16, k=4, least=0.7, tables=6, probes=6, bucket_rows=40).collect()}
     truth = brute(ids, x, 4)
     assert len(truth & got) >= 0.8 * len(truth)
+
+
+def test_full_buckets_lose_no_pair(spark):
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(150, 32)), 4, axis=0)
+    x += 0.35 * rng.normal(size=x.shape)
+    df = spark.createDataFrame([(f"{k:03}", v) for k, v in enumerate(x.tolist())], "id string, vector array<float>")
+    whole, cut = ([(r.id_a, r.id_b) for r in nb.nearest_pairs(df, width=32, k=4, bucket_rows=n).collect()] for n in (8192, 8))
+    assert len(cut) == len(set(cut)) > 0
+    assert set(cut) == set(whole)
