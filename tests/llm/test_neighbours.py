@@ -67,3 +67,13 @@ def test_full_buckets_lose_no_pair(spark):
     whole, cut = ([(r.id_a, r.id_b) for r in nb.nearest_pairs(df, width=32, k=4, bucket_rows=n).collect()] for n in (8192, 8))
     assert len(cut) == len(set(cut)) > 0
     assert set(cut) == set(whole)
+
+
+def test_dense_cluster_has_its_nearest(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=32) + 0.1 * rng.normal(size=(600, 32))  # cosines of about 0.99
+    ids = [f"{k:03}" for k in range(len(x))]
+    df = spark.createDataFrame(list(zip(ids, x.tolist(), strict=True)), "id string, vector array<float>")
+    got = {(r.id_a, r.id_b) for r in nb.nearest_pairs(df, width=32, k=4, bucket_rows=50).collect()}
+    truth = brute(ids, x, 4)
+    assert len(truth & got) >= 0.99 * len(truth)
