@@ -16,7 +16,7 @@ from loamdex.functions.text import estimated_tokens
 from loamdex.operators import catalog, changes, index, reconcile, search
 from loamdex.operators.embed import Embedder, HashingEmbedder
 from loamdex.operators.extract import extract_pages
-from loamdex.operators.frontier import crawl
+from loamdex.operators.frontier import crawl_levels
 from loamdex.sources.pages import PageSource, fetch_pages, robots_text
 
 
@@ -109,8 +109,8 @@ class Engine:
         rows = self.spark.createDataFrame([(site_id, u) for u in addresses], "site_id long, url string")
         changes.swap(changes.enqueue(self.queue, rows, self.now), self._path("queue"))
 
-    def crawl_site(self, site_id: int, source: PageSource, max_depth: int = 50) -> DataFrame:
-        """Fetches the site's pages level by level, records them in the queue and returns them extracted."""
+    def crawl_site(self, site_id: int, source: PageSource, max_depth: int | None = None) -> DataFrame:
+        """Fetches the site's pages level by level, records them in the queue and returns them extracted. Addresses beyond ``max_depth`` stay pending."""
         site = catalog.site_by_id(self.sites, site_id).first()
         if site is None:
             raise EngineError(f"no site {site_id}")
@@ -118,8 +118,8 @@ class Engine:
         host = site.index_url.split("/")[2].split(":")[0]
         robots = self.spark.createDataFrame([(host, body)], "host string, body string")
         seeds = self.queue.where(F.col("site_id") == site_id).select("site_id", "url", F.lit(site.base_url).alias("base_url"))
-        pages = crawl(seeds, lambda f: extract_pages(fetch_pages(f, source)), F.col("base_url"), robots, max_depth=max_depth)
-        queue = changes.enqueue(self.queue, pages.select("site_id", "url"), self.now)
+        pages, rest = crawl_levels(seeds, lambda f: extract_pages(fetch_pages(f, source)), F.col("base_url"), robots, max_depth=max_depth)
+        queue = changes.enqueue(self.queue, pages.select("site_id", "url").unionByName(rest.select("site_id", "url")), self.now)
         done = pages.select("site_id", "url", F.when(F.col("error").isNull(), "completed").otherwise("failed").alias("status"), F.col("error").alias("error_message"))
         ids = queue.select("id", "site_id", "url").join(done, ["site_id", "url"])
         changes.swap(changes.set_status(queue, ids), self._path("queue"))

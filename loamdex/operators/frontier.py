@@ -31,22 +31,48 @@ def closure(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None) ->
     return reduce(DataFrame.unionByName, levels)
 
 
-def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], base: Column, robots: DataFrame | None = None, agent: str = "loamdex", max_depth: int = 50) -> DataFrame:
+#: Tables of one size that are kept apart before they are written as one.
+_RUN = 8
+
+
+def _append(runs: list[tuple[int, DataFrame]], level: DataFrame, name: str) -> None:
+    """Adds a level; eight tables of one size become one of the next, so that the plan stays small and a row is written again a few times only."""
+    runs.append((0, level))
+    while len(runs) >= _RUN and len({size for size, _ in runs[-_RUN:]}) == 1:
+        size = runs[-1][0]
+        runs[-_RUN:] = [(size + 1, materialize(_union(runs[-_RUN:]), name))]
+
+
+def _union(runs: list[tuple[int, DataFrame]]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [d for _, d in runs])
+
+
+def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], base: Column, robots: DataFrame | None = None, agent: str = "loamdex", max_depth: int | None = None) -> DataFrame:
     """Pages reached from seeds (site_id, url, base_url): url, depth and what ``fetch`` gave.
 
     ``fetch`` takes a frontier (site_id, url, base_url) and returns the pages with their ``links``; it may read a
-    table of pages or call a page source on the executors. Every address is fetched once."""
-    frontier = seeds.select("site_id", "url", "base_url").distinct()
-    done: list[DataFrame] = []
-    for depth in range(max_depth + 1):
-        if robots is not None:
-            frontier = open_urls(frontier, robots, agent).where("allowed").drop("allowed")
+    table of pages or call a page source on the executors. Every address is fetched once, until none is left."""
+    return crawl_levels(seeds, fetch, base, robots, agent, max_depth)[0]
+
+
+def crawl_levels(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], base: Column, robots: DataFrame | None = None, agent: str = "loamdex", max_depth: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The pages of ``crawl``, and the frontier (site_id, url, base_url) that ``max_depth`` left unfetched."""
+
+    def allowed(frontier: DataFrame) -> DataFrame:
+        return frontier if robots is None else open_urls(frontier, robots, agent).where("allowed").drop("allowed")
+
+    frontier = materialize(allowed(seeds.select("site_id", "url", "base_url").distinct()), "frontier")
+    done: list[tuple[int, DataFrame]] = []
+    seen: list[tuple[int, DataFrame]] = []
+    depth = 0
+    while True:
         pages = materialize(fetch(frontier).withColumn("depth", F.lit(depth)), "pages")
-        done.append(pages)
-        seen = reduce(DataFrame.unionByName, [d.select("site_id", "url") for d in done])
+        _append(done, pages, "pages")
+        # What was asked for counts as seen even where ``fetch`` gave no page or one of another address: else cycles don't end.
+        _append(seen, frontier.select("site_id", "url").unionByName(pages.select("site_id", "url")), "seen")
         links = pages.select("site_id", "base_url", F.explode("links").alias("link")).where(in_scope(F.col("link"), base))
         fresh = links.select("site_id", without_fragment(F.col("link")).alias("url"), "base_url").distinct()
-        frontier = materialize(fresh.join(seen, ["site_id", "url"], "left_anti"), "frontier")
-        if frontier.isEmpty():
-            break
-    return reduce(DataFrame.unionByName, done)
+        frontier = materialize(allowed(fresh.join(_union(seen), ["site_id", "url"], "left_anti")), "frontier")
+        if frontier.isEmpty() or depth == max_depth:
+            return _union(done), frontier
+        depth += 1

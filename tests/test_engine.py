@@ -11,7 +11,7 @@ from loamdex.api import Engine, EngineError
 from loamdex.config import ChunkSettings, EmbedSettings, Settings
 from loamdex.operators import changes, search
 from loamdex.operators.embed import HashingEmbedder, ServiceEmbedder, retried
-from loamdex.operators.frontier import closure
+from loamdex.operators.frontier import closure, crawl
 from loamdex.server import answer, arguments, serve
 from loamdex.sources.cache import drop_cached, read_cache, write_cache
 from loamdex.sources.pages import FirstOf, HttpPages, MemoryPages, PagesDataSource, may_pass, robots_text
@@ -189,3 +189,20 @@ def test_snapshots(spark, tmp_path):
     once = changes.enqueue(queue, urls, F.lit("2025-02-01").cast("timestamp_ntz"))
     assert sorted((r.url, r.status) for r in once.collect()) == [("u", "pending"), ("v", "pending")]
     assert sorted(map(tuple, changes.enqueue(once, urls, F.lit("2026-02-01").cast("timestamp_ntz")).collect())) == sorted(map(tuple, once.collect()))
+
+
+def test_addresses_beyond_a_depth_stay_pending(engine):
+    chain = MemoryPages({"https://e.com/docs/": page("Start", "p0"), "https://e.com/docs/p0": page("Page", "p1", "./")})
+    site = engine.add_site("https://e.com/docs/", "Chain", "1.0")
+    pages = engine.crawl_site(site, chain, max_depth=1)
+    assert {r.url[19:] for r in pages.select("url").collect()} == {"", "p0"}
+    assert [r.url[19:] for r in engine.queue.where("status = 'pending'").collect()] == ["p1"]
+
+
+def test_crawl_goes_on_until_nothing_is_left(spark):
+    site = [(f"https://e.com/p{k}", [f"https://e.com/p{k + 1}", "https://e.com/p0", "https://e.com/gone"]) for k in range(52)]
+    table = spark.createDataFrame(site, "url string, links array<string>").coalesce(1)
+    seeds = spark.createDataFrame([(1, "https://e.com/p0", "https://e.com/")], "site_id long, url string, base_url string")
+    got = crawl(seeds, lambda f: f.join(F.broadcast(table), "url"), F.col("base_url"))
+    assert {r.url: r.depth for r in got.select("url", "depth").collect()} == {f"https://e.com/p{k}": k for k in range(52)}
+    assert got.count() == 52
