@@ -304,7 +304,7 @@ def fitted(documents: DataFrame, samples: DataFrame, codes: DataFrame, sample: i
     ids = [r.doc_id for r in chosen.collect()]  # at most ``sample``
     rows = documents.where(F.col("doc_id").isin(ids)).select("doc_id", p.alias("label"), F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(2 * sample).collect() if ids else []
     labelled = [(spelled.get(re.sub("[-_][a-z0-9]+$", "", r.label)) or spelled.get(r.label, ""), r.text) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))]
-    certain = [(r.lang, r.sample_text) for r in samples.where("lang is not null and sample_text is not null").orderBy("sample_id").limit(100_000).collect()]
+    certain = [(r.lang, r.sample_text) for r in samples.where("lang is not null and sample_text is not null").orderBy("sample_id").collect()]  # all of them
     return fit(certain, labelled)
 
 

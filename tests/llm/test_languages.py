@@ -57,3 +57,8 @@ def test_rows(spark, sf, tables, model):
     assert ls.language_segments(df.limit(0), model).count() == 0
     got = ls.p8_found(spark, sf).collect()
     assert got and len(got) == len({(r.doc_id, r.block_no) for r in got})
+
+
+def test_all_samples_count(spark, tables):
+    samples = spark.range(100_001).selectExpr("id as sample_id", "if(id < 100000, 'en', 'xx') as lang", "if(id < 100000, 'the house', 'ena hisa') as sample_text")
+    assert ls.fitted(tables[0].limit(0), samples, tables[2]).langs == ["en", "xx"]
