@@ -55,3 +55,21 @@ def test_sections(spark):
     template = spark.createDataFrame([(1, 0), (1, 6)], "page_id long, line_no int")
     got = [(r.page_id, r.section_no, r.content) for r in bp.main_sections(pages, template).orderBy("page_id").collect()]
     assert got == [(1, 1, "body x text\n• kept item"), (2, 0, "as it is")]
+
+
+def test_unique_content_stays(spark):
+    """Lines that no other page of the host has, whatever their place and form, are body."""
+    rows = []
+    for k in range(40):
+        w = [f"{a}{'abcdefghij'[k // 10]}{'abcdefghij'[k % 10]}" for a in WORDS]
+        title = f"The {w[0]} of {w[1]}"
+        lines = [f"A {w[2]} before all else, said {w[3]}", f"# {title}", f"{w[4]} {w[5]}", "", f"A {w[6]} is a {w[7]}.", f"- [{w[8]} {w[9]}](/{w[10]})", "", f"{w[1]} > {w[2]} / {w[3]}", f"## {w[11]}", f"- [{w[0]}](/{w[3]})"]
+        rows.append(("h", k, title, "\n".join(lines)))
+    assert bp.template_lines(spark.createDataFrame(rows, "host string, page_id long, title string, raw_text string")).count() == 0
+
+
+def test_shared_sentences(spark):
+    """A sentence that many pages share stays between what is the page's own, and goes above the title and at the end."""
+    rows = [("h", k, f"T {chr(97 + k)}", f"We use cookies here.\n# T {chr(97 + k)}\nNote: read this first.\nOwn {chr(97 + k)} text.\nAll is without warranty.") for k in range(10)]
+    got = {(r.page_id, r.line_no) for r in bp.template_lines(spark.createDataFrame(rows, "host string, page_id long, title string, raw_text string")).collect()}
+    assert got == {(k, n) for k in range(10) for n in (0, 4)}
