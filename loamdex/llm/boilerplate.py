@@ -11,7 +11,7 @@ by line; inner elements are hashed with their fixed content kept and what varies
   words around a quotation.
 
 Hashes are counted per host by distinct pages. A subtree with a hash on at least ``least_pages`` pages of its host
-and on ``least_share`` of them is template, and all its lines go. So a line goes if its content recurs, or if it
+and on ``least_share`` of them (whole sentences: ``sentence_share``) is template, and all its lines go. So a line goes if its content recurs, or if it
 fills a place in an element whose fixed content recurs; position or form alone never decides.
 
 Body by definition, and never deleted: code (fences and lines with code spans), tables, the title, headings that
@@ -86,7 +86,6 @@ def masked(text: str, own: str) -> str | None:
 
 def elements(text: str, title: str | None) -> tuple[int, list[int], list[tuple[int, list[tuple[str, bool]]]]]:
     """Line of the title (-1 if there is none), all non-blank lines, and the keys of every line that can be template; a key with whether it is that of a whole sentence."""
-    own = plain(title or "")
     seen: list[tuple[int, str, str]] = []  # line_no, kind, plain text
     fenced = False
     for no, line in enumerate(text.split("\n")):
@@ -99,9 +98,12 @@ def elements(text: str, title: str | None) -> tuple[int, list[int], list[tuple[i
         elif p := plain(line):
             seen.append((no, "heading" if _HEADING.match(p) else "line", p))
     headings = {_HEADING.match(p).group(2): k for k, (_, kind, p) in reversed(list(enumerate(seen))) if kind == "heading"}
-    first = headings.get(own) if own else None
+    own = plain(title or "")
+    first = headings.get(own)
     if first is None:
         first = next((k for k, (_, kind, p) in enumerate(seen) if kind == "heading" and p.startswith("# ")), None)
+        if first is not None:
+            own = own or seen[first][2].lstrip("# ")
     out: list[tuple[int, list[tuple[str, bool]]]] = []
     roots: list[str] = []  # hashes of the elements above the list that is open
     for k, (no, kind, p) in enumerate(seen):
@@ -152,7 +154,7 @@ def page_hosts(pages: DataFrame, sites: DataFrame) -> DataFrame:
     return joined.select(F.coalesce("site", authority, F.lit("")).alias("host"), "page_id", "title", "raw_text")
 
 
-def template_lines(pages: DataFrame, least_pages: int = 3, least_share: float = 0.01) -> DataFrame:
+def template_lines(pages: DataFrame, least_pages: int = 3, least_share: float = 0.01, sentence_share: float = 0.12) -> DataFrame:
     """page_id, line_no of every template line; pages: host, page_id, title, raw_text."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +179,7 @@ def template_lines(pages: DataFrame, least_pages: int = 3, least_share: float =
     page = found.where("line_no = -1")
     counted = found.where("line_no >= 0").select("host", "key", "page_id").distinct().groupBy("host", "key").agg(F.count("*").alias("pages"))
     size = page.select("host", "page_id").distinct().groupBy("host").agg(F.count("*").alias("size"))
-    shared = counted.where(F.col("pages") >= least_pages).join(size, "host").where(F.col("pages") >= F.col("size") * least_share).select("host", "key")
+    shared = counted.where(F.col("pages") >= least_pages).join(size, "host").where(F.col("pages") >= F.col("size") * F.when(F.col("key").bitwiseAND(1) == 1, sentence_share).otherwise(least_share)).select("host", "key")
     salted = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = found.where("line_no >= 0").drop("filled").withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
     hits = rows.join(salted, ["host", "key", "salt"], "left_semi")
