@@ -3,9 +3,11 @@
 A text is cut into blocks (runs of non-blank lines). Code, identifiers, addresses and quotations are left out; what
 remains are words. The script of a word narrows its candidate languages (those whose samples use the script);
 each word then has a score per candidate, log of a mixture of its relative frequency in the language and of a
-character trigram model, without accents and letter case. Viterbi over the words with a penalty for switching,
-small between blocks and large inside one, labels spans; a block has the language of most of its words. Texts
-all of whose blocks agree need no Viterbi: no path with a switch could score more.
+character trigram model, without accents and letter case. Viterbi over the words of every text, with all languages
+as states and a penalty for switching, small between blocks and large inside one, labels spans: the spans
+themselves are one output, wherever they begin (``language_spans``); in the other a block has the language of
+most of its words and runs of such blocks are segments (``language_segments``). All texts of a step take their
+first word at once, then their second, and so on, so that a step over words is a few array operations.
 
 The model is fitted on ``lang_samples`` and then on a bounded sample of labelled documents (``SAMPLE`` documents,
 taken by a hash of their ids, ``SAMPLE_CHARS`` characters of each): their blocks count where the label and the
@@ -33,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loamdex.llm.batches import by_size
 from loamdex.sources.tables import table
 
 SAMPLE, SAMPLE_CHARS = 2_000, 20_000
@@ -41,6 +44,8 @@ INSIDE, BETWEEN = 12.0, 4.0
 #: Share of the character model in a word's score, and the most that one word can say against a language.
 BACKOFF, MOST = 0.1, 7.0
 LEAST_WORDS = 2
+#: Bytes of text that go through Viterbi at once in one Python step.
+STEP_BYTES = 4 << 20
 
 # Starts of the Unicode ranges told apart here, and what each range holds.
 _RANGES = [(0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "other"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0700, "other"), (0x0900, "indic"), (0x0E00, "thai"), (0x0E80, "other"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "kana"), (0x3100, "other"), (0x31F0, "kana"), (0x3200, "other"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "latin"), (0xFB07, "other"), (0xFF21, "latin"), (0xFF5B, "other"), (0xFF66, "kana"), (0xFFA0, "other"), (0x20000, "han")]
@@ -202,59 +207,90 @@ class Labeller:
             out.append(i)
         return out
 
-    def segments(self, text: str | None) -> list[tuple[int, int, str, float]]:
-        """First and last block, language and confidence of each segment."""
+    def words_of(self, text: str | None) -> list[list[int]]:
+        """The word ids of each block, no list of blocks if there is too little prose."""
         if text and not text.isascii():
             text = unicodedata.normalize("NFC", text)
-        blocks = blocks_of(text) if text else []
-        if len(self.known) > 300_000:  # between texts only, so that the rows of one text stay
+        ids = [self.ids(b) if b else b for b in blocks_of(text)] if text else []
+        return ids if sum(map(len, ids)) >= LEAST_WORDS else []
+
+    def labelled(self, texts: list[str | None]) -> Iterator[tuple[int, list[list[int]], np.ndarray, np.ndarray]]:
+        """Of each text with prose its position, word ids by block, and for each word its scores and its language on the best path."""
+        if len(self.known) > 300_000:  # between steps only, so that the rows of one step stay
             self.known, self.size = {}, self.fixed
-        ids = [self.ids(b) if b else b for b in blocks]
-        at = [k for k, b in enumerate(ids) if b]
-        if not at or sum(map(len, ids)) < LEAST_WORDS:
-            return []
-        starts = np.cumsum([0, *(len(ids[k]) for k in at[:-1])])
-        sums = np.add.reduceat(self.rows[[i for k in at for i in ids[k]]], starts, axis=0)
-        best = sums.argmax(axis=1)
-        labels = best.tolist() if (best == best[0]).all() else self._viterbi([ids[k] for k in at], sums)
-        out: list[list] = []
-        for k, label, s in zip(at, labels, sums, strict=True):
-            if out and out[-1][2] == label:
-                out[-1][3] = out[-1][3] + s
-            else:
-                out.append([k if out else 0, 0, label, s.astype(np.float64)])
-        result = []
-        for n, (start, _, label, s) in enumerate(out):
-            rest = np.delete(s, label).max(initial=-1e9)
-            sure = 1 / (1 + math.exp(-max(-30.0, min(30.0, 0.3 * float(s[label] - rest)))))
-            result.append((start, out[n + 1][0] - 1 if n + 1 < len(out) else len(blocks) - 1, self.model.langs[label], sure))
-        return result
-
-    def _viterbi(self, blocks: list[list[int]], sums: np.ndarray) -> list[int]:
-        """The language of each block: that of most words on the best path through all words."""
-        states = sorted({int(k) for s in sums for k in np.argsort(-s)[:1]} | {int(np.argmax(sums.sum(axis=0)))})
-        at = range(len(states))
-        value, back = [0.0] * len(states), []
-        for n, block in enumerate(blocks):
-            for j, i in enumerate(block):
-                row, penalty = self.rows[i], BETWEEN if j == 0 else INSIDE
-                if n == j == 0:
-                    penalty = 0.0
-                top = max(at, key=value.__getitem__)
-                came = [q if value[q] >= value[top] - penalty else top for q in at]
-                value = [(value[q] if came[q] == q else value[top] - penalty) + float(row[states[q]]) for q in at]
-                back.append(came)
-        q, path = max(at, key=value.__getitem__), []
-        for came in reversed(back):
-            path.append(q)
-            q = came[q]
-        path.reverse()
-        labels, start = [], 0
-        for block in blocks:
-            votes = Counter(path[start : start + len(block)])
-            labels.append(states[max(votes, key=lambda s: (votes[s], -s))])
-            start += len(block)
-        return labels
+        found = [(k, ids) for k, text in enumerate(texts) if (ids := self.words_of(text))]
+        if not found:
+            return
+        sizes = [[len(b) for b in ids] for _, ids in found]
+        words = self.rows[np.fromiter((i for _, ids in found for b in ids for i in b), np.int64)]
+        penalty = np.full(len(words), INSIDE, np.float32)
+        heads = np.cumsum([0, *(n for x in sizes for n in x)])[:-1]
+        penalty[heads[[n > 0 for x in sizes for n in x]]] = BETWEEN
+        lengths = np.array([sum(x) for x in sizes])
+        starts = np.cumsum([0, *lengths[:-1]])
+        penalty[starts] = 0
+        path = best_path(words, penalty, starts, lengths)
+        for (k, ids), start, n in zip(found, starts.tolist(), lengths.tolist(), strict=True):
+            yield k, ids, words[start : start + n], path[start : start + n]
+
+    def segments(self, texts: list[str | None]) -> list[list[tuple[int, int, str, float]]]:
+        """For each text first and last block, language and confidence of each segment."""
+        out: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
+        width = len(self.model.langs)
+        for k, ids, words, path in self.labelled(texts):
+            at = [n for n, b in enumerate(ids) if b]
+            sizes = [len(ids[n]) for n in at]
+            starts = np.cumsum([0, *sizes[:-1]])
+            votes = np.bincount(np.repeat(np.arange(len(at)), sizes) * width + path, minlength=len(at) * width).reshape(-1, width)
+            labels = votes.argmax(axis=1)
+            sums = np.add.reduceat(words, starts, axis=0)
+            first = np.flatnonzero(np.concatenate([[True], labels[1:] != labels[:-1]]))
+            blocks = [0, *(at[n] for n in first[1:]), len(ids)]
+            for n, (label, s) in enumerate(zip(labels[first], np.add.reduceat(sums, first, axis=0), strict=True)):
+                out[k].append((blocks[n], blocks[n + 1] - 1, self.model.langs[label], confidence(s, label)))
+        return out
+
+    def spans(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int, str, float]]]:
+        """For each text block and word of the block at which a span begins and at which it ends, language and confidence of each span of the best path."""
+        out: list[list[tuple[int, int, int, int, str, float]]] = [[] for _ in texts]
+        for k, ids, words, path in self.labelled(texts):
+            where = np.array([(n, j) for n, b in enumerate(ids) for j in range(len(b))])
+            first = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1]]))
+            ends = [*(first[1:] - 1), len(path) - 1]
+            for a, b, s in zip(first, ends, np.add.reduceat(words, first, axis=0), strict=True):
+                out[k].append((*where[a].tolist(), *where[b].tolist(), self.model.langs[path[a]], confidence(s, path[a])))
+        return out
+
+
+def confidence(scores: np.ndarray, label: int) -> float:
+    """Probability of the label against the next best language under a tempered model."""
+    rest = np.delete(scores, label).max(initial=-1e9)
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, 0.3 * float(scores[label] - rest)))))
+
+
+def best_path(scores: np.ndarray, penalty: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The state of every word on the best path of its text. Texts lie end to end, none is empty; ``penalty`` is that of a switch before a word."""
+    order = np.argsort(-lengths, kind="stable")
+    begin, size = starts[order], lengths[order]
+    active = np.searchsorted(-size, -np.arange(1, size[0] + 1), "right")  # texts with more than t words
+    value = np.zeros((len(order), scores.shape[1]), np.float32)
+    stays = np.empty(scores.shape, bool)
+    best = np.empty(len(scores), np.int16)
+    for t, n in enumerate(active.tolist()):
+        at, v = begin[:n] + t, value[:n]
+        top = v.argmax(axis=1)
+        switched = v[np.arange(n), top] - penalty[at]
+        stay = v >= switched[:, None]
+        stays[at], best[at] = stay, top
+        value[:n] = np.where(stay, v, switched[:, None]) + scores[at]
+    path = np.empty(len(scores), np.int64)
+    q = value.argmax(axis=1)
+    for t in range(len(active) - 1, -1, -1):
+        n = active[t]
+        at = begin[:n] + t
+        path[at] = q[:n]
+        q[:n] = np.where(stays[at, q[:n]], q[:n], best[at])
+    return path
 
 
 def fit(samples: list[tuple[str, str]], labelled: list[tuple[str, str]]) -> Model:
@@ -266,12 +302,12 @@ def fit(samples: list[tuple[str, str]], labelled: list[tuple[str, str]]) -> Mode
         return Model({})
     first = Labeller(Model(texts))
     more = {lang: list(x) for lang, x in texts.items()}
-    for lang, text in labelled:
-        if lang not in more:
-            continue
-        blocks = blocks_of(text)
-        for start, end, got, sure in first.segments(text):
-            if got == lang and sure > 0.9:
+    for at in range(0, len(labelled), 256):
+        some = [(lang, text) for lang, text in labelled[at : at + 256] if lang in more]
+        for (lang, text), segments in zip(some, first.segments([text for _, text in some]), strict=True):
+            agreed = [x for x in segments if x[2] == lang and x[3] > 0.9]
+            blocks = blocks_of(text) if agreed else []
+            for start, end, _, _ in agreed:
                 more[lang] += [b for b in blocks[start : end + 1] if b]
     return Model(more)
 
@@ -308,48 +344,60 @@ def fitted(documents: DataFrame, samples: DataFrame, codes: DataFrame, sample: i
     return fit(certain, labelled)
 
 
-def language_segments(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, label (the column lang), segment_no, segments, block_no (its first), last_block, lang and confidence of every segment."""
+def _labelled(documents: DataFrame, model: Model, id_col: str, text_col: str, how: str, fields: dict[str, pa.DataType]) -> DataFrame:
+    """id, label (the column lang), number of the part and of all parts of the text, and ``fields`` of every part that ``how`` of the labeller gives."""
     kind = documents.schema[id_col].dataType.simpleString()
     shared = documents.sparkSession.sparkContext.broadcast(model)  # its words are those of the bounded sample
+    names = ["id", "label", "segment_no", "segments", *fields]
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(shared.value) if shared.value.langs else None
-        for batch in batches:
-            if labeller is None:
-                return
-            out: list[tuple] = []
-            for k, text in enumerate(batch.column("text").to_pylist()):
-                found = labeller.segments(text)
-                out += [(k, n, len(found), *s) for n, s in enumerate(found)]
+        if not shared.value.langs:
+            return
+        labeller = Labeller(shared.value)
+        for batch in (part for b in batches for part in by_size(b, "text", STEP_BYTES)):
+            out = [(k, n, len(found), *s) for k, found in enumerate(getattr(labeller, how)(batch.column("text").to_pylist())) for n, s in enumerate(found)]
             if out:
-                k, n, m, a, b, lang, sure = zip(*out, strict=True)
+                k, *columns = zip(*out, strict=True)
                 at = pa.array(k, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").take(at), batch.column("label").take(at), pa.array(n, pa.int32()), pa.array(m, pa.int32()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(lang, pa.string()), pa.array(sure, pa.float64())],
-                    ["id", "label", "segment_no", "segments", "block_no", "last_block", "lang", "confidence"],
-                )
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("label").take(at), *(pa.array(c, t) for c, t in zip(columns, [pa.int32(), pa.int32(), *fields.values()], strict=True))], names)
 
     rows = documents.select(F.col(id_col).alias("id"), F.col("lang").alias("label"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(label, f"id {kind}, label string, segment_no int, segments int, block_no int, last_block int, lang string, confidence double")
+    types = {pa.int32(): "int", pa.string(): "string", pa.float64(): "double"}
+    out = rows.mapInArrow(label, f"id {kind}, label string, segment_no int, segments int, " + ", ".join(f"{n} {types[t]}" for n, t in fields.items()))
     return out.withColumnRenamed("id", id_col)
 
 
-def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents, codes = table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_codes")
-    return language_segments(documents, fitted(documents, table(spark, sf_dir, "lang_samples"), codes))
+def language_segments(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, label (the column lang), segment_no, segments, block_no (its first), last_block, lang and confidence of every segment."""
+    fields = {"block_no": pa.int32(), "last_block": pa.int32(), "lang": pa.string(), "confidence": pa.float64()}
+    return _labelled(documents, model, id_col, text_col, "segments", fields)
+
+
+def language_spans(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``language_segments``, with the word of the block (from 0, words of prose; three letters of a script without blanks count as one) at which a span begins and ends: spans may begin inside a block."""
+    fields = {"block_no": pa.int32(), "word_no": pa.int32(), "last_block": pa.int32(), "last_word": pa.int32(), "lang": pa.string(), "confidence": pa.float64()}
+    return _labelled(documents, model, id_col, text_col, "spans", fields)
+
+
+def _model(spark: SparkSession, sf_dir: str) -> Model:
+    return fitted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_samples"), table(spark, sf_dir, "lang_codes"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of texts in several languages, and the segment of other texts whose label doesn't name their language."""
-    rows = names_language(F.col("label"), F.col("lang"), table(spark, sf_dir, "lang_codes"), _segments(spark, sf_dir))
+    rows = names_language(F.col("label"), F.col("lang"), table(spark, sf_dir, "lang_codes"), language_segments(table(spark, sf_dir, "documents"), _model(spark, sf_dir)))
     return rows.where((F.col("segments") > 1) | ~F.col("agrees")).select("doc_id", F.col("block_no").cast("long").alias("block_no"), "lang")
 
 
 def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every segment of every text with its language and confidence."""
-    return _segments(spark, sf_dir)
+    return language_segments(table(spark, sf_dir, "documents"), _model(spark, sf_dir))
+
+
+def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every span of every text with its language and confidence, also where the language changes inside a block."""
+    return language_spans(table(spark, sf_dir, "documents"), _model(spark, sf_dir))
 
 
-QUERIES = {"p8_found": p8_found, "p8_segments": p8_segments}
+QUERIES = {"p8_found": p8_found, "p8_segments": p8_segments, "p8_spans": p8_spans}
 ORACLES: dict[str, str] = {}
