@@ -11,7 +11,18 @@ pytestmark = pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocab
 def test_steps_invert_the_distribution():
     steps = mx.steps_of(1.0, 3)
     assert [round(s, 4) for s in steps] == [0.3679, 0.7358, 0.9197]
-    assert mx.calibrated({1: 10}, 1e9, 4) == [0.0] * 4 and mx.calibrated({1: 10}, 0, 4) == []
+    assert mx.calibrated(mx.Draws({1: 10}), 1e9, 4).tolist() == [0.0] * 4 and len(mx.calibrated(mx.Draws({1: 10}), 0, 4)) == 0
+    many = mx.steps_of(5000.0, 10**9)
+    assert 0.49 < many[5000] < 0.51 and many[-1] < 1 and len(many) < 10_000
+
+
+def test_any_rate_is_met(spark):
+    """Rates from a hundred thousandth to hundreds of repeats, over ten million documents and over few."""
+    for n, rate, most in ((10_000_000, 1e-5, 3), (10_000_000, 1e-4, 1), (1_000_000, 0.37, 4), (200, 700.0, 2000)):
+        rows = spark.range(n).select(mx.F.lit("a").alias("source"), mx.draw(17, mx.F.col("id")).alias("draw"), mx.F.lit(7).cast("long").alias("n_tokens"))
+        goals = spark.createDataFrame(mx.plan_of(rows, [("a", rate, most)]), mx._STEPS)
+        got = mx._copies(rows, goals).agg(mx.F.sum("copies").alias("n"), mx.F.max("copies").alias("m")).first()
+        assert abs(got.n - n * rate) <= max(1, 0.002 * n * rate) and got.m <= most
 
 
 def test_shares(spark, sf):
