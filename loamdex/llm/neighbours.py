@@ -35,8 +35,8 @@ from loamdex.plans.scratch import materialize
 from loamdex.sources.tables import table
 
 SLACK = 1e-5
-#: Pairs up to which the list of undecided pairs is broadcast (16 MB); beyond, the vectors are shuffled to it.
-BROADCAST_PAIRS = 1_000_000
+#: Classes up to which the list of those with undecided pairs is broadcast (about 16 MB); beyond, the vectors are shuffled to it.
+BROADCAST_CLASSES = 250_000
 
 
 @lru_cache(maxsize=64)
@@ -86,7 +86,7 @@ def _rows(codes: list[bytes], width: int) -> np.ndarray:
 
 
 def unit_codes(df: DataFrame, id_col: str, vector_col: str, width: int) -> DataFrame:
-    """id, key (64 bits of the class) and code (16-bit coordinates) of every usable record."""
+    """id, hash (of the vector as it is stored), key (64 bits of the class) and code (16-bit coordinates) of every usable record."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,14 +94,19 @@ def unit_codes(df: DataFrame, id_col: str, vector_col: str, width: int) -> DataF
             q = np.rint(x / np.abs(x).max(axis=1, keepdims=True, initial=1e-30) * 32767).astype(np.int16)
             codes = [row.tobytes() for row in q]
             keys = np.array([xxhash.xxh64_intdigest(c) for c in codes], np.uint64).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), pa.array(keys, pa.int64()), pa.array(codes, pa.binary())], ["id", "key", "code"])
+            kept = [batch.column(n).take(pa.array(at)) for n in ("id", "hash")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(keys, pa.int64()), pa.array(codes, pa.binary())], ["id", "hash", "key", "code"])
 
-    rows = df.where(F.col(id_col).isNotNull() & (F.size(vector_col) == width)).select(F.col(id_col).cast("string").alias("id"), F.col(vector_col).alias("vector"))
-    return rows.mapInArrow(encode, "id string, key long, code binary")
+    return _vectors(df, id_col, vector_col, width).mapInArrow(encode, "id string, hash long, key long, code binary")
 
 
-def _buckets(classes: DataFrame, width: int, tables: int, probes: int, bucket_rows: int) -> DataFrame:
-    """bucket, lo, hi, part, packed (key, axes of all tables, code). (bucket, lo, hi) is a task in which two parts of a bucket meet."""
+def _vectors(df: DataFrame, id_col: str, vector_col: str, width: int) -> DataFrame:
+    rows = df.where(F.col(id_col).isNotNull() & (F.size(vector_col) == width))
+    return rows.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(vector_col).alias("hash"), F.col(vector_col).alias("vector"))
+
+
+def _classes(units: DataFrame, width: int, tables: int, probes: int) -> DataFrame:
+    """key, one record of the class (id, hash), its buckets and packed (key, axes of all tables, code)."""
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,14 +116,20 @@ def _buckets(classes: DataFrame, width: int, tables: int, probes: int, bucket_ro
             x = _rows(codes, width)
             axes = np.stack([nearest_axes(x, t, probes) for t in range(tables)], 1).astype(np.uint16)
             packed = pa.array([k + a.tobytes() + c for k, a, c in zip((k.tobytes() for k in keys), axes, codes, strict=True)], pa.binary())
-            for t in range(tables):
-                for p in range(probes):
-                    yield pa.RecordBatch.from_arrays([pa.array((t << 16) + axes[:, t, p].astype(np.int64)), packed], ["bucket", "packed"])
+            buckets = (axes.astype(np.int64) + (np.arange(tables) << 16)[:, None]).ravel()
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(codes) + 1, dtype=np.int32) * tables * probes), pa.array(buckets))
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("key", "id", "hash")), lists, packed], ["key", "id", "hash", "buckets", "packed"])
+
+    one = units.groupBy("key").agg(F.first("code").alias("code"), F.min(F.struct("id", "hash")).alias("r")).select("key", "r.id", "r.hash", "code")
+    return one.mapInArrow(enter, "key long, id string, hash long, buckets array<long>, packed binary")
 
-    entries = classes.mapInArrow(enter, "bucket long, packed binary")
-    full = entries.groupBy("bucket").count().where(F.col("count") > bucket_rows).select("bucket", F.ceil(F.col("count") / bucket_rows).alias("parts"))
+
+def _buckets(classes: DataFrame, bucket_rows: int) -> DataFrame:
+    """bucket, lo, hi, part, packed. (bucket, lo, hi) is a task in which two parts of a bucket meet."""
+    full = classes.select(F.explode("buckets").alias("bucket")).groupBy("bucket").count().where(F.col("count") > bucket_rows).select("bucket", F.ceil(F.col("count") / bucket_rows).alias("parts"))
     full = materialize(full, "full-buckets")
     none = F.lit(0).cast("long")
+    entries = classes.select(F.explode("buckets").alias("bucket"), "packed")
     if full.isEmpty():
         return entries.select("bucket", none.alias("lo"), none.alias("hi"), none.alias("part"), "packed")
     # There are at most as many full buckets as signed axes in all tables.
@@ -172,32 +183,32 @@ def _bucket_best(width: int, tables: int, probes: int, k: int, least: float):
     return best
 
 
-def _exact(pairs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """a, b, sim of undecided pairs by full vectors; ``classes`` has key and vector."""
-    small = pairs.count() <= BROADCAST_PAIRS
-    hint = F.broadcast if small else (lambda d: d)
-    left = classes.join(hint(pairs), classes["key"] == pairs["a"]).select("a", "b", F.col("vector").alias("va"))
-    if small:  # then the left side has as many rows, and is small next to the vectors
-        wanted = hint(pairs.select("b").distinct())
-        right = classes.join(wanted, classes["key"] == wanted["b"]).select(F.col("key").alias("b"), F.col("vector").alias("vb"))
-    else:
-        right = classes.select(F.col("key").alias("b"), F.col("vector").alias("vb"))
+def _exact(pairs: DataFrame, classes: DataFrame, vectors: DataFrame, width: int) -> DataFrame:
+    """a, b, sim of undecided pairs of classes, by the full vector of one record of each."""
+    wanted = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "key")
+    wanted = materialize(classes.select("key", "id", "hash").join(wanted, "key", "left_semi"), "asked-classes")
+    few = wanted.count() <= BROADCAST_CLASSES
+    found = vectors.join(F.broadcast(wanted) if few else wanted, ["id", "hash"]).groupBy("key").agg(F.first("vector").alias("vector"))
+    found = materialize(found, "asked-vectors")
 
     def cosine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             (_, x), (_, y) = (_units(batch.column(n), width) for n in ("va", "vb"))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array((x * y).sum(axis=1))], ["a", "b", "sim"])
 
-    return left.join(right, "b").select("a", "b", "va", "vb").mapInArrow(cosine, "a long, b long, sim double")
+    left = pairs.join(found.select(F.col("key").alias("a"), F.col("vector").alias("va")), "a")
+    both = left.join(found.select(F.col("key").alias("b"), F.col("vector").alias("vb")), "b")
+    return both.select("a", "b", "va", "vb").mapInArrow(cosine, "a long, b long, sim double")
 
 
 def nearest_pairs(df: DataFrame, id_col: str = "id", vector_col: str = "vector", width: int = 96, k: int = 8, least: float = 0.7, tables: int = 2, probes: int = 4, bucket_rows: int = 8192) -> DataFrame:
     """id_a < id_b of all pairs found with cosine of at least ``least`` of which one is among the k most similar of the other."""
-    units = unit_codes(df, id_col, vector_col, width)
-    classes = units.groupBy("key").agg(F.first("code").alias("code"))
-    entries = _buckets(classes, width, tables, probes, bucket_rows)
+    units = materialize(unit_codes(df, id_col, vector_col, width), "unit-codes")
+    classes = materialize(_classes(units, width, tables, probes), "classes")
+    entries = _buckets(classes, bucket_rows)
     met = entries.groupBy("bucket", "lo", "hi").applyInArrow(_bucket_best(width, tables, probes, k, least - SLACK), "a long, b long, sim float")
-    near = met.groupBy("a").agg(F.array_distinct(F.sort_array(F.collect_list(F.struct((-F.col("sim")).alias("far"), "b")))).alias("near"))
+    # A pair of classes is passed on once, by the first bucket that both are in.
+    near = met.groupBy("a").agg(F.sort_array(F.collect_list(F.struct((-F.col("sim")).alias("far"), "b"))).alias("near"))
     near = materialize(near.withColumn("edge", F.coalesce(F.try_element_at("near", F.lit(k))["far"], F.lit(9.0))), "neighbours")
 
     # Undecided: within the slack of rank k while more than k are, or within the slack of the threshold.
@@ -209,8 +220,7 @@ def nearest_pairs(df: DataFrame, id_col: str = "id", vector_col: str = "vector",
     sure = near.where(~doubt).select("a", F.slice("near", 1, k).alias("near"))
     open_ = near.where(doubt)
     asked = materialize(open_.select("a", F.explode(F.filter("near", lambda y: zone(y) | limit(y))).alias("y")).select("a", F.col("y.b").alias("b")).distinct(), "undecided")
-    rows = df.where(F.col(id_col).isNotNull() & (F.size(vector_col) == width)).select(F.col(id_col).cast("string").alias("id"), F.col(vector_col).alias("vector"))
-    full = _exact(asked, _keyed(rows, width), width).groupBy("a", "b").agg(F.first("sim").alias("exact"))
+    full = _exact(asked, classes, _vectors(df, id_col, vector_col, width), width).select("a", "b", F.col("sim").alias("exact"))
     decided = open_.select("a", F.explode("near").alias("y")).select("a", F.col("y.b").alias("b"), F.col("y.far").cast("double").alias("far")).join(full, ["a", "b"], "left")
     decided = decided.withColumn("far", F.coalesce(-F.col("exact"), "far")).where(F.col("far") <= -least)
     decided = decided.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.col("far").cast("float").alias("far"), "b"))), 1, k).alias("near"))
@@ -219,19 +229,6 @@ def nearest_pairs(df: DataFrame, id_col: str = "id", vector_col: str = "vector",
     return _expand(lists, units.select("id", "key").distinct(), k)
 
 
-def _keyed(rows: DataFrame, width: int) -> DataFrame:
-    """key and vector of every usable record."""
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, x = _units(batch.column("vector"), width)
-            q = np.rint(x / np.abs(x).max(axis=1, keepdims=True, initial=1e-30) * 32767).astype(np.int16)
-            keys = np.array([xxhash.xxh64_intdigest(row.tobytes()) for row in q], np.uint64).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column("vector").take(pa.array(at))], ["key", "vector"])
-
-    return rows.select("vector").mapInArrow(encode, "key long, vector array<float>")
-
-
 def _expand(lists: DataFrame, members: DataFrame, k: int) -> DataFrame:
     """Pairs of records from lists of classes (a, near: nearest first). Each member of a class has the other members before all else, in order of id."""
     sizes = members.groupBy("key").agg(F.count("*").alias("size"))
@@ -262,7 +259,8 @@ def _expand(lists: DataFrame, members: DataFrame, k: int) -> DataFrame:
     heads = _heads(shared, k + 1)
     # Ranks beyond the heads don't matter; they all count as the one after.
     grouped = shared.join(heads, ["key", "id"], "left").select("key", "id", F.coalesce("rank", F.lit(k + 2)).alias("rank"))
-    ranked = single.unionByName(grouped)
+    # A class of more than k members lists none of another, and no other lists more than its first k: in links the rest has no part.
+    ranked = single.unionByName(heads.where(F.col("rank") <= k).select("key", "id", "rank"))
     joined = pairs.join(ranked.select(F.col("key").alias("lo"), F.col("id").alias("x"), F.col("rank").alias("rx")), "lo")
     first_only = F.col("of_hi").isNotNull() | (F.col("rx") <= F.col("of_lo"))
     joined = joined.where(first_only).join(ranked.select(F.col("key").alias("hi"), F.col("id").alias("y"), F.col("rank").alias("ry")), "hi")

@@ -56,7 +56,7 @@ def test_hot_buckets_are_divided(spark):
     df = spark.createDataFrame(list(zip(ids, x.tolist(), strict=True)), "id string, vector array<float>")
     got = {(r.id_a, r.id_b) for r in nb.nearest_pairs(df, width=16, k=4, least=0.7, tables=6, probes=6, bucket_rows=40).collect()}
     truth = brute(ids, x, 4)
-    assert len(truth & got) >= 0.8 * len(truth)
+    assert len(truth & got) >= 0.95 * len(truth)
 
 
 def test_full_buckets_lose_no_pair(spark):
@@ -77,3 +77,25 @@ def test_dense_cluster_has_its_nearest(spark):
     got = {(r.id_a, r.id_b) for r in nb.nearest_pairs(df, width=32, k=4, bucket_rows=50).collect()}
     truth = brute(ids, x, 4)
     assert len(truth & got) >= 0.99 * len(truth)
+
+
+def test_two_large_classes_near_each_other(spark):
+    """A third of all records equal, another third equal and near them, and a few whose nearest are both: work is by class, rows are those of brute force."""
+    rng = np.random.default_rng(8)
+    a = rng.normal(size=16)
+    b = a + 0.2 * rng.normal(size=16)
+    x = np.concatenate([np.repeat([a, b], 40, axis=0), a + 0.1 * rng.normal(size=(12, 16)), np.repeat([a + 0.15 * rng.normal(size=16)], 5, axis=0)])
+    ids = [f"{k:03}" for k in rng.permutation(len(x))]
+    df = spark.createDataFrame(list(zip(ids, x.tolist(), strict=True)), "id string, vector array<float>")
+    for n in (8192, 3):
+        got = [(r.id_a, r.id_b) for r in nb.nearest_pairs(df, width=16, k=8, tables=6, probes=4, bucket_rows=n).collect()]
+        assert len(got) == len(set(got))
+        assert set(got) == brute(ids, x)
+
+
+def test_one_id_with_two_vectors(spark):
+    """Each of the two counts; the exact comparison takes the vector that was asked for."""
+    v = [1.0] + [0.0] * 7
+    rows = [("a", v), ("b", v[::-1]), ("b", [0.7000001, 0.7141427] + [0.0] * 6), ("c", [0.7] + [0.0] * 6 + [0.71414284])]
+    got = {(r.id_a, r.id_b) for r in nb.nearest_pairs(spark.createDataFrame(rows, "id string, vector array<float>"), width=8, tables=8, probes=8).collect()}
+    assert ("a", "b") in got and ("b", "c") in got
