@@ -56,6 +56,41 @@ def test_blocks_of_several_lines(spark):
     assert got == {(k, 1 + j): 3 - j for k in range(6) for j in range(3)}
 
 
+def longest_blocks(rows, least_pages=5):
+    """(page, line) to the lines of the longest run that starts there and is on enough pages; every line counts."""
+    pages, best = defaultdict(set), {}
+    for _, page, sections in rows:
+        lines = sections[0][1].split("\n")
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                pages[tuple(lines[a:b])].add(page)
+    for _, page, sections in rows:
+        lines = sections[0][1].split("\n")
+        for a in range(len(lines)):
+            n = max((b - a for b in range(a + 1, len(lines) + 1) if len(pages[tuple(lines[a:b])]) >= least_pages), default=0)
+            if n:
+                best[page, a] = n
+    return best
+
+
+@pytest.mark.parametrize("depths", [(2, 3), (6, 32, 128)])
+def test_blocks_of_any_length(spark, depths):
+    """Blocks of 1 to 50 lines, nested and cut short on some pages: lengths are those of brute force."""
+    rng = random.Random(3)
+    block = [f"line {'abcdefghijklmnopqrstuvwxyz'[k % 26]}{k * 'i'} of a long block" for k in range(50)]
+    rows = []
+    for page in range(24):
+        n, start = rng.choice([50, 50, 37, 9, 7, 6, 2]), rng.choice([0, 0, 5])
+        own = [f"own words {rng.random()} of page {'abcdefghijklmnopqrstuvwxyz'[page]} {x}" for x in ("eins", "zwei")]
+        rows.append(("s", page, [("h", "\n".join([own[0], *block[start : start + n], own[1]]))]))
+    found = rl.repeated_lines(spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA), depths=depths)
+    got = {(r.page_id, r.line_no): r.lines for r in found.collect()}
+    want = longest_blocks([(s, p, [(h, re.sub("[0-9]+", "0", t)) for h, t in x]) for s, p, x in rows])
+    assert got == want and max(want.values()) > 40
+    blocks = {(r.page_id, r.line_no): r.lines for r in rl.repeated_blocks(found).collect()}
+    assert blocks == {(p, a): n for (p, a), n in want.items() if n >= 2 and want.get((p, a - 1), 0) <= n}
+
+
 def test_website_spelling(spark):
     df = spark.createDataFrame([("https://Docs.A.example/x/",), ("http://docs.a.example/x",)], "u string")
     assert {r.w for r in df.select(rl.website(df.u).alias("w")).collect()} == {"docs.a.example/x"}
