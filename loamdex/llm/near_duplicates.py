@@ -6,9 +6,10 @@ signature; classes that share a bucket are candidates. A candidate pair compares
 after each batch the pair is dropped if the posterior probability (uniform prior on the similarity) that it
 reaches the threshold is below ``miss``. Survivors are compared by their whole shingle sets.
 
-A text that a third of all records share is one class. Buckets are joined, not collected; a hot bucket of
-different texts is cut into parts that meet two by two in tasks of their own, and a pair that meets in several
-buckets is verified once.
+A text that a third of all records share is one class before it enters any bucket. Buckets are counted with partial
+sums and joined, not collected; a hot bucket of different texts is cut into parts that meet two by two in tasks of
+their own, and a pair that meets in several buckets is verified once. Where pairs of records are asked for, the
+members of a class of more than ``PART_ROWS`` are joined in parts.
 
 ``near_duplicate_groups`` returns one row per record with its class and component and its number of links to
 other texts, ``near_duplicate_pairs`` all pairs. Parameters as shipped for p2: three words, similarity of 0.6,
@@ -31,12 +32,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loamdex.llm.batches import by_size
 from loamdex.plans.scratch import materialize
 from loamdex.sources.tables import table
 
 _WORD = re.compile(r"[a-z0-9]+")
 #: Bytes kept of a shingle's hash in the exact sets: two shingles of a pair are confused with probability 1e-12.
 _KEPT = 5
+#: Members of a class that are joined in one part; bytes of texts or sets that one Python step takes at once.
+PART_ROWS, STEP_BYTES = 4096, 4 << 20
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -106,7 +110,7 @@ def _features(df: DataFrame, id_col: str, text_col: str, shingle: int, least_wor
     """id, fp (class: hash of the set), bands, sig, set of every record."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for b in batches for part in by_size(b, "text", STEP_BYTES)):
             at, h, starts = shingle_sets(batch.column("text").to_pylist(), shingle, least_words)
             if not len(at):
                 continue
@@ -127,7 +131,21 @@ def _features(df: DataFrame, id_col: str, text_col: str, shingle: int, least_wor
     return rows_.mapInArrow(build, "id string, fp binary, bands array<long>, sig binary, set binary")
 
 
-def _verified(candidates: DataFrame, classes: DataFrame, threshold: float, batch: int, size: int, miss: float) -> DataFrame:
+def similarities(xs: list[bytes], ys: list[bytes]) -> np.ndarray:
+    """Shared shingles over all shingles of each pair of sets, all pairs at once."""
+    found = []
+    for side, sets in enumerate((xs, ys)):
+        wide = np.zeros((sum(map(len, sets)) // _KEPT, 8), np.uint8)
+        wide[:, :_KEPT] = np.frombuffer(b"".join(sets), np.uint8).reshape(-1, _KEPT)
+        pair = np.repeat(np.arange(len(sets), dtype=np.uint64), [len(x) // _KEPT for x in sets])
+        found.append((pair << np.uint64(8 * _KEPT + 1)) | (wide.view("<u8").ravel() << np.uint64(1)) | np.uint64(side))
+    all_ = np.unique(np.concatenate(found))
+    pair = (all_ >> np.uint64(8 * _KEPT + 1)).astype(np.int64)
+    both = np.bincount(pair[:-1][all_[1:] >> np.uint64(1) == all_[:-1] >> np.uint64(1)], minlength=len(xs))
+    return both / (np.bincount(pair, minlength=len(xs)) - both)
+
+
+def _verified(candidates: DataFrame, sigs: DataFrame, sets: DataFrame, threshold: float, batch: int, size: int, miss: float) -> DataFrame:
     least = keep_from(threshold, batch, size, miss)
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,34 +161,31 @@ def _verified(candidates: DataFrame, classes: DataFrame, threshold: float, batch
             yield b.select(["a", "b"]).take(pa.array(alive))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sims = np.empty(b.num_rows)
-            for k, (x, y) in enumerate(zip(b.column("set_a").to_pylist(), b.column("set_b").to_pylist(), strict=True)):
-                p, q = ({z[i : i + _KEPT] for i in range(0, len(z), _KEPT)} for z in (x, y))
-                both = len(p & q)
-                sims[k] = both / (len(p) + len(q) - both)
+        for b in (part for whole in batches for part in by_size(whole, "set_a", STEP_BYTES)):
+            sims = similarities(b.column("set_a").to_pylist(), b.column("set_b").to_pylist())
             out = pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(sims)], ["a", "b", "sim"])
             yield out.filter(pa.array(sims >= threshold))
 
-    def with_both(pairs: DataFrame, column: str) -> DataFrame:
+    def with_both(pairs: DataFrame, classes: DataFrame, column: str) -> DataFrame:
         x = classes.select(F.col("fp").alias("a"), F.col(column).alias(f"{column}_a"))
         y = classes.select(F.col("fp").alias("b"), F.col(column).alias(f"{column}_b"))
         return pairs.join(x, "a").join(y, "b").select("a", "b", f"{column}_a", f"{column}_b")
 
-    likely = with_both(candidates, "sig").mapInArrow(prune, "a binary, b binary")
-    return with_both(likely, "set").mapInArrow(exact, "a binary, b binary, sim double")
+    likely = with_both(candidates, sigs, "sig").mapInArrow(prune, "a binary, b binary")
+    return with_both(likely, sets, "set").mapInArrow(exact, "a binary, b binary, sim double")
 
 
 def _candidates(entries: DataFrame, bucket_rows: int) -> DataFrame:
-    """a < b of all classes that share a bucket.
+    """a < b of all classes that share a bucket; entries: bucket and fp, each once.
 
     Most buckets hold one class and end here. A bucket of more than ``bucket_rows`` classes is cut into parts, and
     every two parts meet in a task of their own."""
-    members = F.count("*").over(Window.partitionBy("bucket"))
-    shared = materialize(entries.withColumn("n", members).where("n > 1"), "shared-buckets")
-    cold = shared.where(F.col("n") <= bucket_rows).select("bucket", "fp")
+    hot = entries.groupBy("bucket").count().where(F.col("count") > bucket_rows).select("bucket", F.ceil(F.col("count") / bucket_rows).alias("parts"))
+    hot = materialize(hot, "hot-buckets")
+    members = F.count("*").over(Window.partitionBy("bucket"))  # of at most bucket_rows
+    cold = materialize(entries.join(hot, "bucket", "left_anti").withColumn("n", members).where("n > 1").select("bucket", "fp"), "shared-buckets")
     pairs = cold.withColumnRenamed("fp", "a").join(cold.withColumnRenamed("fp", "b"), "bucket").where("a < b").select("a", "b")
-    part = shared.where(F.col("n") > bucket_rows).withColumn("parts", F.ceil(F.col("n") / bucket_rows)).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("long"))
+    part = entries.join(hot, "bucket").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("long"))
     met = part.select("bucket", "fp", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("other"))
     met = met.select("bucket", "fp", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi")).repartition("bucket", "lo", "hi")
     x, y = (met.select("bucket", "lo", "hi", F.col("fp").alias(n), F.col("part").alias(f"part_{n}")) for n in "ab")
@@ -182,26 +197,36 @@ def class_links(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, thr
     """Links a < b between classes with their similarity, and the classes' members (id, fp)."""
     found = materialize(_features(df, id_col, text_col, shingle, least_words, bands, rows, size), "shingles")
     members = found.select("id", "fp").distinct()
-    classes = found.groupBy("fp").agg(F.first("sig").alias("sig"), F.first("set").alias("set"))
-    entries = found.select("fp", F.explode("bands").alias("bucket")).repartition("bucket").dropDuplicates(["bucket", "fp"])
-    candidates = _candidates(entries, bucket_rows).distinct()
-    return _verified(candidates, classes, threshold, batch, size, miss), members
+    classes = materialize(found.groupBy("fp").agg(F.first("bands").alias("bands"), F.first("sig").alias("sig")), "classes")
+    sets = found.groupBy("fp").agg(F.first("set").alias("set"))
+    candidates = _candidates(classes.select("fp", F.explode(F.array_distinct("bands")).alias("bucket")), bucket_rows).distinct()
+    return _verified(candidates, classes.select("fp", "sig"), sets, threshold, batch, size, miss), members
 
 
-def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, **how) -> DataFrame:
+def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, part_rows: int = PART_ROWS, **how) -> DataFrame:
     """id_a < id_b of all pairs of records whose similarity reaches the threshold."""
     links, members = class_links(df, id_col, text_col, **how)
-    links = materialize(links.select("a", "b"), "links")
-    across = links.join(members.select(F.col("fp").alias("a"), F.col("id").alias("x")), "a").join(members.select(F.col("fp").alias("b"), F.col("id").alias("y")), "b")
-    within = members.select("fp", F.col("id").alias("id_a")).join(members.select("fp", F.col("id").alias("id_b")), "fp").where("id_a < id_b")
+    links, members = materialize(links.select("a", "b"), "links"), materialize(members, "members")
+    large = members.groupBy("fp").count().where(F.col("count") > part_rows).select("fp", F.ceil(F.col("count") / part_rows).alias("parts"))
+    large = materialize(large, "large-classes")
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    in_parts = members.join(large, "fp", "left").select("fp", "id", F.pmod(F.xxhash64("id"), parts).alias("part"))
+
+    def each_part(rows: DataFrame, fp: str) -> DataFrame:
+        """``rows`` once for each part of the class ``fp``."""
+        return rows.join(large.withColumnRenamed("fp", fp), fp, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+
+    x = each_part(links, "a").join(in_parts.select(F.col("fp").alias("a"), "part", F.col("id").alias("x")), ["a", "part"]).drop("part")
+    across = each_part(x, "b").join(in_parts.select(F.col("fp").alias("b"), "part", F.col("id").alias("y")), ["b", "part"])
+    within = each_part(members, "fp").select("fp", "part", F.col("id").alias("id_a")).join(in_parts.select("fp", "part", F.col("id").alias("id_b")), ["fp", "part"]).where("id_a < id_b")
     return across.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).unionByName(within.select("id_a", "id_b"))
 
 
-def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """node, root (smallest node of its component), by alternating large-star and small-star steps until nothing changes."""
+def components(links: DataFrame) -> DataFrame:
+    """node, root (smallest node of its component), by alternating large-star and small-star steps until nothing changes; their number grows with the logarithm of the links."""
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars")
     last = None
-    for _ in range(max_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

@@ -67,3 +67,22 @@ def test_posterior_bounds_are_safe():
     for n, m in enumerate(least):
         lost |= equal[:, : 16 * (n + 1)].sum(1) < m
     assert lost.mean() < 0.01 and least == sorted(least)
+
+
+def test_large_classes_are_joined_in_parts(spark):
+    """Two linked classes of many members, cut into parts or not: the same pairs, each once."""
+    words = [f"w{k}" for k in range(40)]
+    a, b = " ".join(words), " ".join(words[:20] + ["new"] + words[20:])
+    df = spark.createDataFrame([(f"{k:02}", (a, b, b + " own words of one" * 9)[min(k % 3, 2 if k == 5 else k % 2)]) for k in range(24)], "id string, content string")
+    truth, _ = brute([(r.id, r.content) for r in df.collect()])
+    for n in (3, 4096):
+        got = [(r.id_a, r.id_b) for r in nd.near_duplicate_pairs(df, "id", "content", shingle=3, threshold=0.6, least_words=20, part_rows=n).collect()]
+        assert len(got) == len(set(got)) and set(got) == truth
+
+
+def test_similarities():
+    rng = np.random.default_rng(1)
+    sets = [[bytes(rng.integers(0, 3, nd._KEPT, np.uint8)) for _ in range(rng.integers(1, 60))] for _ in range(80)]
+    xs, ys = [sorted(set(x)) for x in sets[:40]], [sorted(set(x)) for x in sets[40:]]
+    got = nd.similarities([b"".join(x) for x in xs], [b"".join(y) for y in ys])
+    assert got.tolist() == [len(set(x) & set(y)) / len(set(x) | set(y)) for x, y in zip(xs, ys, strict=True)]
