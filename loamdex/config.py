@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import tomllib
-from dataclasses import asdict, dataclass, field
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, field, replace
 from pathlib import Path
 from urllib.parse import urlsplit
 
@@ -106,3 +107,27 @@ class Settings:
         parts = [f"[{name}]\n" + "".join(f"{k} = {said(v)}\n" for k, v in asdict(part).items()) for name, part in (("embedding", self.embedding), ("chunking", self.chunking))]
         self.folder.mkdir(parents=True, exist_ok=True)
         self.file.write_text("\n".join(parts))
+
+
+def asked(settings: Settings, ask: Callable[[str], str] = input, say: Callable[[str], None] = print, test: Callable[[EmbedSettings], None] | None = None) -> Settings:
+    """Settings after a talk: each field of the embedding service with its value as the default, asked again until it is within bounds; then, if wanted, ``test`` tries the service."""
+    now = settings.embedding
+    for name, value in asdict(now).items():
+        while True:
+            given = ask(f"{name} [{value}]: ").strip()
+            try:
+                changed = replace(now, **{name: type(value)(given)}) if given else now
+                wrong = [p for p in changed.problems() if p.startswith(name)]
+            except ValueError:
+                wrong = [f"{name} must be a number, not {given}"]
+            if not wrong:
+                now = changed
+                break
+            say(wrong[0])
+    if test and ask("try the service now? [y/N]: ").strip().lower() in ("y", "yes"):
+        try:
+            test(now)
+            say("the service answers and has the model")
+        except Exception as e:  # the settings are kept, the service may come later
+            say(f"the service is not available: {e}")
+    return replace(settings, embedding=now).check()

@@ -71,6 +71,11 @@ def delete_sites(ids: DataFrame, sites: DataFrame, children: Sequence[DataFrame]
     return sites.join(gone, "id", "left_anti"), [c.join(gone.withColumnRenamed("id", "site_id"), "site_id", "left_anti").select(*c.columns) for c in children]
 
 
+def without_site(rows: DataFrame, site_id: int) -> DataFrame:
+    """A queue, chunk or vector table without the rows of one site; those of no site stay."""
+    return rows.where(F.coalesce(F.col("site_id") != site_id, F.lit(True)))
+
+
 def swap(df: DataFrame, path: str, partition_by: Sequence[str] = (), form: str = "parquet") -> DataFrame:
     """Writes the snapshot beside ``path``, then puts it there; the table before stays readable until the rename."""
     spark = df.sparkSession
@@ -97,6 +102,19 @@ def compact(spark: SparkSession, path: str, target_mb: int = 128, partition_by:
     return swap(spark.read.parquet(path).repartition(max(1, -(-size // (target_mb << 20)))), path, partition_by)
 
 
+def compact_small(spark: SparkSession, path: str, most_files: int = 8, target_mb: int = 128) -> bool:
+    """Compacts a table, or one partition of it, that has more than ``most_files`` files of less than half the target on average; whether it did."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return False
+    held = fs.getContentSummary(at)
+    if held.getFileCount() <= most_files or held.getLength() / held.getFileCount() >= (target_mb << 19):
+        return False
+    compact(spark, path, target_mb)
+    return True
+
+
 def integrity(tables: dict[str, DataFrame], problems: dict[str, Column], keys: dict[str, Sequence[str]]) -> DataFrame:
     """table, problem, rows: broken row rules, and keys that should be unique but aren't."""
     out = None

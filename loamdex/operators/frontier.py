@@ -10,25 +10,30 @@ from pyspark.sql import functions as F
 
 from loamdex.functions.robots import open_urls
 from loamdex.functions.urls import in_scope, without_fragment
-from loamdex.plans.scratch import materialize
+from loamdex.plans.scratch import counted, materialize
+
+
+#: Nodes up to which a level is broadcast to the edges (some 2 MB of numbers, 10 MB of addresses); beyond, both are shuffled.
+BROADCAST_NODES = 100_000
 
 
 def closure(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """node and depth of everything reached from ``seeds`` (node) over ``edges`` (src, dst), each once at its least depth; cycles end."""
+    """node and depth of everything reached from ``seeds`` (node) over ``edges`` (src, dst), each once at its least depth; cycles end.
+
+    Edges are written once. A level is one job: while it is small, by its counted size, it goes to the edges as a
+    broadcast, and only what it reaches is shuffled."""
     edges = materialize(edges.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct(), "edges")
-    level = materialize(seeds.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0)), "level")
-    levels, depth = [level], 0
-    while max_depth is None or depth < max_depth:
+    level, n = counted(seeds.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0)), "level")
+    runs: list[tuple[int, DataFrame]] = []
+    depth = 0
+    while True:
+        _append(runs, level, "levels")
+        if not n or depth == max_depth:
+            return _union(runs)
         depth += 1
-        if len(levels) > 8:  # deep graphs: the plan must not grow with the depth
-            levels = [materialize(reduce(DataFrame.unionByName, levels), "levels")]
-        seen = reduce(DataFrame.unionByName, levels).select("node")
-        reached = level.join(edges, level["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        level = materialize(reached.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)), "level")
-        if level.isEmpty():
-            break
-        levels.append(level)
-    return reduce(DataFrame.unionByName, levels)
+        step = F.broadcast(level.select("node")) if n <= BROADCAST_NODES else level.select("node")
+        reached = edges.join(step, edges["src"] == step["node"]).select(F.col("dst").alias("node")).distinct()
+        level, n = counted(reached.join(_union(runs).select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)), "level")
 
 
 #: Tables of one size that are kept apart before they are written as one.
@@ -55,24 +60,26 @@ def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], base: Colum
     return crawl_levels(seeds, fetch, base, robots, agent, max_depth)[0]
 
 
-def crawl_levels(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], base: Column, robots: DataFrame | None = None, agent: str = "loamdex", max_depth: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """The pages of ``crawl``, and the frontier (site_id, url, base_url) that ``max_depth`` left unfetched."""
+def crawl_levels(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], base: Column, robots: DataFrame | None = None, agent: str = "loamdex", max_depth: int | None = None, each: Callable[[int, int], None] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The pages of ``crawl``, and the frontier (site_id, url, base_url) that ``max_depth`` left unfetched. ``each`` is called before every level with its depth and number of addresses."""
 
     def allowed(frontier: DataFrame) -> DataFrame:
         return frontier if robots is None else open_urls(frontier, robots, agent).where("allowed").drop("allowed")
 
-    frontier = materialize(allowed(seeds.select("site_id", "url", "base_url").distinct()), "frontier")
+    frontier, n = counted(allowed(seeds.select("site_id", "url", "base_url").distinct()), "frontier")
     done: list[tuple[int, DataFrame]] = []
     seen: list[tuple[int, DataFrame]] = []
     depth = 0
     while True:
+        if each:
+            each(depth, n)
         pages = materialize(fetch(frontier).withColumn("depth", F.lit(depth)), "pages")
         _append(done, pages, "pages")
         # What was asked for counts as seen even where ``fetch`` gave no page or one of another address: else cycles don't end.
         _append(seen, frontier.select("site_id", "url").unionByName(pages.select("site_id", "url")), "seen")
         links = pages.select("site_id", "base_url", F.explode("links").alias("link")).where(in_scope(F.col("link"), base))
         fresh = links.select("site_id", without_fragment(F.col("link")).alias("url"), "base_url").distinct()
-        frontier = materialize(allowed(fresh.join(_union(seen), ["site_id", "url"], "left_anti")), "frontier")
-        if frontier.isEmpty() or depth == max_depth:
+        frontier, n = counted(allowed(fresh.join(_union(seen), ["site_id", "url"], "left_anti")), "frontier")
+        if not n or depth == max_depth:
             return _union(done), frontier
         depth += 1

@@ -91,7 +91,7 @@ def live_chunks(chunks: DataFrame, deletions: DataFrame) -> DataFrame:
     return last.where((F.col("n") == 1) & ~F.coalesce((F.col("d") > F.col("w")) | (F.col("d").isNotNull() & F.col("w").isNull()), F.lit(False))).select("key")
 
 
-def orphan_cascade(relations: Mapping[str, Relation], keys: Sequence[ForeignKey], max_rounds: int = 1000) -> DataFrame:
+def orphan_cascade(relations: Mapping[str, Relation], keys: Sequence[ForeignKey]) -> DataFrame:
     """Every orphan reference: src_table, src_field, record_key, ref_key, ref_month, kind (direct or inherited), depth (0 for direct).
 
     A reference is reported once per record, with the smallest depth. Each round joins only the records orphaned
@@ -112,9 +112,9 @@ def orphan_cascade(relations: Mapping[str, Relation], keys: Sequence[ForeignKey]
     rounds, seen = [direct], None
     newly = {p: direct.where((F.col("src_table") == p) & F.col("self_key").isNotNull()).select(F.col("self_key").alias("key")).distinct() for p in parents}
     children = [fk for fk in keys if any(up.child == fk.parent for up in keys)]
-    for depth in range(1, max_rounds + 1):
-        if not children:
-            break
+    depth = 0
+    while children:  # every round but the last adds records, so it ends
+        depth += 1
         seen = reduce(DataFrame.unionByName, rounds)
         step = once(reduce(DataFrame.unionByName, [found(fk, newly[fk.parent], "left_semi", "inherited", depth) for fk in children]))
         step = materialize(step.join(seen.select("src_table", "src_field", "record_key"), ["src_table", "src_field", "record_key"], "left_anti"), "orphans")

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamdex.config import ChunkSettings
 from loamdex.functions import robots as R
 from loamdex.functions import text as X
 from loamdex.functions import urls as U
@@ -15,10 +14,10 @@ from loamdex.operators import catalog as C
 from loamdex.operators import changes as D
 from loamdex.operators import reconcile as O
 from loamdex.operators import search as S
-from loamdex.operators.chunking import chunk_documents, chunk_rows, sentence_chunks
-from loamdex.operators.embed import HashingEmbedder, embed_column
+from loamdex.operators.chunking import sentence_chunks
 from loamdex.operators.extract import extract_pages, page_links, page_sections
 from loamdex.operators.frontier import closure
+from loamdex.plans.scratch import new_path
 from loamdex.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,10 +107,26 @@ def search_results_enriched(spark, sf_dir):
     return got.withColumn("relevance_score", F.round("relevance_score", 6))
 
 
+def _approximate(spark, sf_dir):
+    """The 10 nearest of the approximate index for each vector whose id is divisible by 100."""
+    v = _Tables(spark, sf_dir).vectors
+    index = S.ApproximateIndex.build(v, new_path(spark, "vector-index"))
+    queries = v.where(F.substring("id", 2, 20).cast("long") % 100 == 0).select(F.col("id").alias("query_id"), "vector")
+    return index.search(queries, 10)
+
+
 @query()
 def search_lsh(spark, sf_dir):
     """Approximate search by random projections, exact order of the candidates."""
-    return S.lsh_top_k(_Tables(spark, sf_dir).vectors, _query_vector(spark, sf_dir), 10).select("id", F.round("distance", 6).alias("distance"))
+    return _approximate(spark, sf_dir).select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
+
+
+@query("select count(*) as queries, true as recall_reached from v where cast(substr(id, 2) as bigint) % 100 = 0")
+def search_lsh_recall(spark, sf_dir):
+    """Whether the approximate search finds at least 0.9 of what the exact one finds."""
+    exact, found = search_batch_topk(spark, sf_dir), _approximate(spark, sf_dir).select("query_id", "id", F.lit(1).alias("hit"))
+    both = exact.join(found, ["query_id", "id"], "left")
+    return both.agg(F.countDistinct("query_id").alias("queries"), (F.count("hit") / F.count("*") >= 0.9).alias("recall_reached"))
 
 
 @query("select site_id, count(*) as vectors from r group by all")
@@ -433,36 +448,6 @@ def sentence_chunks_of_documents(spark, sf_dir):
     return got.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("pieces").alias("pieces"))
 
 
-def _as_pages(documents: DataFrame) -> DataFrame:
-    """Documents as pages of one section."""
-    flag = X.has_code(F.col("text"))
-    section = F.struct(F.coalesce("title", F.lit("Content")).alias("heading_path"), F.col("text").alias("content"), F.lit(None).cast("tinyint").alias("heading_level"), flag.alias("has_code_blocks"))
-    return documents.where("text is not null").select("doc_id", "title", F.array(section).alias("sections"), F.col("text").alias("raw_text")).repartition("doc_id")
-
-
-@query()
-def chunk_rows_of_documents(spark, sf_dir):
-    """Chunks of every document under the default settings."""
-    return chunk_rows(chunk_documents(_as_pages(_Tables(spark, sf_dir).documents)), "doc_id")
-
-
-@query()
-def chunk_documents_small(spark, sf_dir):
-    """Chunks and tokens of every document under small settings."""
-    s = ChunkSettings(target_chunk_size=200, max_chunk_size=400, min_chunk_size=60, overlap_size=40)
-    rows = chunk_rows(chunk_documents(_as_pages(_Tables(spark, sf_dir).documents), s), "doc_id")
-    return rows.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("token_count").alias("tokens"))
-
-
-@query()
-def page_chunks_embedded(spark, sf_dir):
-    """Chunks of the cached pages with their vectors: the whole path from page to vector table."""
-    pages = table(spark, sf_dir, "extracted_pages").dropDuplicates(["page_id"]).repartition("page_id")
-    chunks = chunk_rows(chunk_documents(pages.select("page_id", "site_id", "url", "title", "sections", "raw_text")), "page_id", "site_id", "url", "title")
-    vector_id = F.sha2(F.concat_ws("|", "site_id", "url", "chunk_index"), 256)
-    return embed_column(chunks, HashingEmbedder(64)).select(vector_id.alias("id"), "page_id", "chunk_index", "token_count", "heading_path", F.size("vector").alias("width"))
-
-
 @query(r"""select page_id, section_no, s.heading_path as heading_path, cast(s.heading_level as integer) as heading_level, s.has_code_blocks as has_code_blocks from (select page_id, unnest(sections) as s, cast(generate_subscripts(sections, 1) - 1 as integer) as section_no from (select distinct on (page_id) * from extracted_pages))""")
 def page_sections_rows(spark, sf_dir):
     """One row per section of the cached pages."""
@@ -479,13 +464,6 @@ def _as_html(pages: DataFrame) -> DataFrame:
     return pages.where("raw_text is not null").dropDuplicates(["page_id"]).repartition("page_id").select("page_id", "site_id", "url", page.alias("html"))
 
 
-@query()
-def page_extraction(spark, sf_dir):
-    """Title, and numbers of sections and links, of every page extracted from HTML."""
-    got = extract_pages(_as_html(table(spark, sf_dir, "extracted_pages")))
-    return got.select("page_id", "title", F.size("sections").alias("sections"), F.size("links").alias("links"), F.length("raw_text").alias("chars"))
-
-
 @query(r"""select distinct page_id, regexp_replace(origin || case when h like '/%' then h else d || h end, '/index\.[a-zA-Z0-9]+$', '/') as link from (
  select page_id, lower(regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1)) as origin, regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1), '[^/]*$', '') as d, b, unnest(regexp_extract_all(raw_text, '\[[^\]]*\]\(([^)\s]+)\)', 1)) as h
  from (select distinct on (page_id) * from extracted_pages where raw_text is not null) join (select id, regexp_replace(regexp_extract(base_url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1), '^$', '/') as p, case when p like '%/' then p else p || '/' end as b from sites) s on s.id = site_id)

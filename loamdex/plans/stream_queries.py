@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamdex.plans.scratch import scratch_root
+from loamdex.plans.scratch import new_path
 from loamdex.streaming.flows import event_windows, item_states, run_available
 from loamdex.sources.tables import table
 
@@ -23,7 +21,7 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _result(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     """The rows that a stream gives: in complete mode the last state of all, else every row."""
-    root = f"{scratch_root(spark)}/stream-{uuid.uuid4().hex}"
+    root = new_path(spark, "stream")
     out = f"{root}/out"
     run_available(stream, f"{root}/checkpoint", lambda df, _: df.write.mode("overwrite" if mode == "complete" else "append").parquet(out), mode)
     return spark.read.schema(stream.schema).parquet(out)
@@ -40,13 +38,11 @@ def stream_item_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = _stream(spark, sf_dir, "crawl_queue").where("site_id is not null")
     stage = F.when(F.col("status").isin("completed", "failed"), 2).when(F.col("status") == "processing", 1).otherwise(0)
     events = q.select("site_id", "url", "status", (F.col("retry_count") * 10 + stage).cast("long").alias("seq"))
-    got = _result(spark, item_states(events), "update")
-    last = F.max(F.struct("seq", "status")).alias("s")
-    return got.groupBy("site_id", "url").agg(last).select("site_id", "url", "s.status")
+    return _result(spark, item_states(events), "complete")
 
 
 QUERIES = {"stream_event_windows": stream_event_windows, "stream_item_states": stream_item_states}
 ORACLES = {
     "stream_event_windows": "select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as events, round(sum(value), 4) as value from events group by all",
-    "stream_item_states": "select site_id, url, arg_max(status, (retry_count * 10 + case when status in ('completed', 'failed') then 2 when status = 'processing' then 1 else 0 end, status)) as status from crawl_queue where site_id is not null group by all",
+    "stream_item_states": "select *, status = 'pending' or (status = 'failed' and retries < 3) as eligible from (select site_id, url, arg_max(status, (seq, status)) as status, cast(count(distinct seq) filter (status = 'failed') as integer) as retries, max(seq) as seq from (select *, retry_count * 10 + case when status in ('completed', 'failed') then 2 when status = 'processing' then 1 else 0 end as seq from crawl_queue where site_id is not null) group by all)",
 }

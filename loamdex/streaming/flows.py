@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def new_addresses(stream: DataFrame, time: str = "seen_at", late: str = "1 day") -> DataFrame:
@@ -17,7 +15,7 @@ def new_addresses(stream: DataFrame, time: str = "seen_at", late: str = "1 day")
 
 
 def event_windows(stream: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    """Events per type and window of event time; later than the watermark they don't count."""
+    """Events per type and window of event time. In append and update mode those later than the watermark don't count; complete mode keeps all."""
     return stream.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("events"), F.sum("value").alias("value")).select(F.col("w.start").alias("start"), "event_type", "events", "value")
 
 
@@ -26,24 +24,15 @@ def active_sessions(stream: DataFrame, gap: str = "2 minutes", late: str = "1 ho
     return stream.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("beats")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "beats")
 
 
-_STATE = "status string, retries int, seq long"
-
-
 def item_states(stream: DataFrame, max_retries: int = 3) -> DataFrame:
-    """The state of each work item (site_id, url) after its events (seq, status): events out of order don't go back, a failure adds a retry, and an item with retries left is eligible again."""
-
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, retries, seq = state.get if state.exists else ("pending", 0, -1)
-        events = pd.concat(list(batches)).sort_values("seq")
-        for s, n in zip(events["status"], events["seq"], strict=True):
-            if n > seq:
-                retries += s == "failed"
-                status, seq = s, int(n)
-        state.update((status, int(retries), seq))
-        yield pd.DataFrame({"site_id": [key[0]], "url": [key[1]], "status": [status], "retries": [int(retries)], "seq": [seq], "eligible": [status == "pending" or (status == "failed" and retries < max_retries)]})
-
-    out = "site_id long, url string, status string, retries int, seq long, eligible boolean"
-    return stream.groupBy("site_id", "url").applyInPandasWithState(advance, out, _STATE, "update", GroupStateTimeout.NoTimeout)
+    """The state of each work item (site_id, url) after its events (seq, status), as an aggregate in the JVM.
+
+    The event with the largest seq decides, so events out of order don't go back; each event that failed is a
+    retry, given once per seq; an item with retries left is eligible again."""
+    last = F.max(F.struct("seq", "status")).alias("last")
+    failed = F.size(F.collect_set(F.when(F.col("status") == "failed", F.col("seq")))).alias("retries")  # a few for each item
+    got = stream.groupBy("site_id", "url").agg(last, failed).select("site_id", "url", "last.status", "retries", "last.seq")
+    return got.withColumn("eligible", (F.col("status") == "pending") | ((F.col("status") == "failed") & (F.col("retries") < max_retries)))
 
 
 def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:

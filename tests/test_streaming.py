@@ -21,6 +21,9 @@ def test_item_states_go_on_after_a_restart(spark, tmp_path):
     flows.run_available(flows.item_states(stream, 2), at, batch, "update")
     rows = sorted((r.url, r.seq, r.status, r.retries, r.eligible) for r in spark.read.parquet(out).collect())
     assert rows == [("a", 2, "failed", 1, True), ("a", 3, "failed", 2, False), ("b", 1, "completed", 0, False)]
+    spark.createDataFrame([(1, "a", 2, "failed")], schema).coalesce(1).write.mode("append").parquet(src)  # delivered twice: no retry more
+    flows.run_available(flows.item_states(stream, 2), at, batch, "update")
+    assert {r.retries for r in spark.read.parquet(out).where("seq = 3").collect()} == {2}
 
 
 def test_addresses_once_and_sessions(spark, tmp_path):
