@@ -14,11 +14,12 @@ from html.parser import HTMLParser
 
 from loamdex.functions.urls import resolve
 
+# The element names of the HTML standard by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body canvas center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html isindex li main menu nav noframes noscript ol output p pre section summary table tbody td tfoot th thead tr ul".split())
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
-#: Elements whose text is never content, and classes that mark furniture.
+#: Fixed values, which decide what is extracted: elements whose text is never content, and classes that mark furniture.
 SUPPRESSED = frozenset("script iframe style nav navbar header footer aside button rustdoc-search rustdoc-toolbar".split())
 FURNITURE = frozenset("advertisement ads sidebar menu navigation anchor".split())
 _CLOSES_P = BLOCKS - frozenset("html body".split())
@@ -226,7 +227,7 @@ def collapse(root: Node) -> Node:
     return root
 
 
-#: Patterns after which text would be read as Markdown, in the order in which they are escaped.
+#: Patterns after which text would be read as Markdown, in the order in which they are escaped.
 ESCAPES = [(re.compile(p), r) for p, r in ((r"\\", r"\\\\"), (r"\*", r"\\*"), (r"^-", r"\\-"), (r"^\+ ", r"\\+ "), (r"^(=+)", r"\\\1"), (r"^(#{1,6}) ", r"\\\1 "), (r"`", r"\\`"), (r"^~~~", r"\\~~~"), (r"\[", r"\\["), (r"\]", r"\\]"), (r"^>", r"\\>"), (r"_", r"\\_"), (r"^(\d+)\. ", r"\1\\. "))]
 
 
@@ -338,6 +339,7 @@ def _rule(n: Node, tag: str, inner: str) -> str:
 
 
 def _attribute(value: str) -> str:
+    """Line breaks with the blanks after them as one; the pattern is a fixed value."""
     return re.sub(r"(\n+\s*)+", "\n", value)
 
 

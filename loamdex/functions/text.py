@@ -74,7 +74,7 @@ def code_language(css_class: Column) -> Column:
 
 
 def clean_attribute(c: Column) -> Column:
-    """Line breaks with the blanks after them as one line break."""
+    """Line breaks with the blanks after them as one line break; the pattern is a fixed value."""
     return F.regexp_replace(c, r"(\n+\s*)+", "\n")
 
 

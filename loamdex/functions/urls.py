@@ -9,7 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+# Beginnings of references that lead to no other page, and the name of an index file.
 _SKIPPED = r"^(mailto:|javascript:|#|\\#)"
+_INDEX = r"/index\.[a-zA-Z0-9]+$"
 
 
 def part(url: Column, what: str) -> Column:
@@ -42,7 +44,7 @@ def skipped_href(href: Column) -> Column:
 
 def without_index(path: Column) -> Column:
     """``/index.ext`` at the end as a slash."""
-    return F.regexp_replace(path, r"/index\.[a-zA-Z0-9]+$", "/")
+    return F.regexp_replace(path, _INDEX, "/")
 
 
 def without_fragment(url: Column) -> Column:

@@ -20,7 +20,7 @@ from loamdex.plans.document_queries import values
 from loamdex.plans.scratch import new_path
 from loamdex.server import answer
 from loamdex.sources.cache import drop_cached, read_cache, write_cache
-from loamdex.sources.pages import FirstOf, HttpPages, MemoryPages, robots_text
+from loamdex.sources.pages import FirstOf, HttpPages, MemoryPages, RenderedPages, RenderSettings, robots_text
 from loamdex.sources.tables import table
 from loamdex.streaming.flows import Progress, run_available
 
@@ -283,6 +283,41 @@ def page_sources(spark, sf_dir):
     return spark.createDataFrame(found, "case string, result string")
 
 
+class _Renderer:
+    """A renderer that fails at one address and counts what is running."""
+
+    running: list[_Renderer] = []  # noqa: RUF012
+
+    def __init__(self, settings: RenderSettings):
+        self.running.append(self)
+
+    def get(self, url: str) -> str:
+        if url == "bad":
+            raise OSError("no page")
+        return f"<p>{url}</p>"
+
+    def close(self) -> None:
+        self.running.remove(self)
+
+
+_RENDERED = [("pages", "<p>a</p> <p>b</p> <p>c</p>"), ("running", "2"), ("after a failure", "plain 1"), ("idle", "1"), ("left", "0"), ("settings", "wait must be 1 to 300, not 0")]
+
+
+@query(values(_RENDERED, ["case", "result"]).replace("t(case,", 't("case",'))
+def rendered_pages(spark, sf_dir):
+    """A renderer before plain pages: started as needed, replaced after a failure, closed when idle; settings out of bounds."""
+    now = [0.0]
+    _Renderer.running = []
+    source = RenderedPages(_Renderer, clock=lambda: now[0])
+    found = [("pages", " ".join(source.get(u) for u in "abc")), ("running", str(len(_Renderer.running)))]
+    plain = FirstOf(source, MemoryPages({"bad": "plain"})).get("bad")
+    found.append(("after a failure", f"{plain} {len(_Renderer.running)}"))
+    now[0] = 1000.0
+    found += [("idle", str(source.close_idle())), ("left", str(len(_Renderer.running)))]
+    found.append(("settings", next(RenderSettings(wait=0).problems())))
+    return spark.createDataFrame(found, "case string, result string")
+
+
 _SERVICE = [("batches", "2 2 1"), ("one text alone", "True"), ("has the model", "True"), ("has it not", "the service has no model other"), ("too few vectors", "1 texts, 0 vectors"), ("waits", "1.0 2.0"), ("raised at last", "ConnectionError"), ("settings", "port 8080 width 128 model m"), ("asked again", "port must be 1 to 65535, not 0"), ("saved", "True")]
 
 

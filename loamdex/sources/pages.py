@@ -10,6 +10,7 @@ import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator, Mapping
+from dataclasses import dataclass
 from typing import Protocol
 
 from pyspark.sql import DataFrame
@@ -76,6 +77,65 @@ class HttpPages:
         raise AssertionError("no attempt")
 
 
+@dataclass(frozen=True)
+class RenderSettings:
+    """How pages are rendered: seconds to wait for a page and to let it settle, renderers of a worker, size of the window, seconds after which an unused renderer is closed."""
+
+    wait: int = 30
+    settle: float = 2.0
+    renderers: int = 2
+    width: int = 1280
+    height: int = 720
+    idle: float = 300.0
+
+    def problems(self) -> Iterator[str]:
+        for name, least, most in (("wait", 1, 300), ("renderers", 1, 10), ("width", 100, 4000), ("height", 100, 4000)):
+            if not least <= getattr(self, name) <= most:
+                yield f"{name} must be {least} to {most}, not {getattr(self, name)}"
+
+
+class Renderer(Protocol):
+    """A running renderer: HTML of a page after its scripts, until it is closed."""
+
+    def get(self, url: str) -> str: ...
+
+    def close(self) -> None: ...
+
+
+class RenderedPages:
+    """Pages after their scripts have run. ``start`` gives a renderer; renderers are started as they are needed, used in turn, closed when idle, and replaced after a failure.
+
+    Put before plain HTTP by ``FirstOf``; ``start`` must be picklable, what it started stays in its worker."""
+
+    def __init__(self, start: Callable[[RenderSettings], Renderer], settings: RenderSettings | None = None, clock: Callable[[], float] = time.monotonic):
+        self.start, self.settings, self.clock = start, settings or RenderSettings(), clock
+        for p in self.settings.problems():
+            raise ValueError(p)
+        self.open: list[tuple[float, Renderer]] = []  # used longest ago first
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "open": []}
+
+    def get(self, url: str) -> str:
+        self.close_idle()
+        renderer = self.start(self.settings) if len(self.open) < self.settings.renderers else self.open.pop(0)[1]
+        try:
+            html = renderer.get(url)
+        except (OSError, ValueError):
+            renderer.close()
+            raise
+        self.open.append((self.clock(), renderer))
+        return html
+
+    def close_idle(self) -> int:
+        """Closes renderers that gave no page for ``idle`` seconds; how many."""
+        old = [r for used, r in self.open if self.clock() - used > self.settings.idle]
+        self.open = [x for x in self.open if x[1] not in old]
+        for r in old:
+            r.close()
+        return len(old)
+
+
 class FirstOf:
     """The first source that gives a page, such as a renderer with plain HTTP behind it."""
 
