@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loamdex.llm.batches import by_size
 from loamdex.sources.tables import table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -32,6 +33,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters up to which a text is encoded in one go, and from which its parts become rows of their own.
 PIECE_CHARS, SPREAD_CHARS = 8_192, 1 << 20
+#: Bytes of text that are encoded at once in one Python step.
+STEP_BYTES = 4 << 20
 
 
 class Encoder:
@@ -108,12 +111,12 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, piece_chars)
-        for batch in batches:
+        for batch in (part for b in batches for part in by_size(b, "text", STEP_BYTES)):
             out = _lists([enc(t) if t else np.zeros(0, np.int32) for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in batch.schema.names if n != "text"), out], [*(n for n in batch.schema.names if n != "text"), "ids"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for b in batches for part in by_size(b, "text", STEP_BYTES)):
             for k, text in enumerate(batch.column("text").to_pylist()):
                 digest = hashlib.md5(text.encode()).hexdigest()
                 for at in range(0, len(text), spread_chars):
