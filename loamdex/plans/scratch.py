@@ -17,7 +17,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager, suppress
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
@@ -55,11 +55,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """As ``materialize``, with the number of rows, which the write itself counts."""
+def counted(df: DataFrame, name: str, of: Column | None = None) -> tuple[DataFrame, int]:
+    """As ``materialize``, with the number of rows, or another whole sum over them, which the write itself takes."""
     seen = Observation()
-    table = materialize(df.observe(seen, F.count(F.lit(1)).alias("rows")), name)
-    return table, seen.get["rows"]
+    table = materialize(df.observe(seen, (F.count(F.lit(1)) if of is None else of).alias("n")), name)
+    return table, seen.get["n"] or 0
 
 
 def release(spark: SparkSession, after: int = 0) -> None:
