@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loamdex.plans.scratch import materialize
+from loamdex.plans.scratch import counted, materialize
 from loamdex.sources.tables import table
 
 #: Lines by which suffixes are sorted in the first pass, in the second, and in each after that.
@@ -131,30 +131,27 @@ def repeated_lines(pages: DataFrame, least_pages: int = 5, least_chars: int = 15
 
     ``pages`` has source (string), page_id (long) and sections (array of structs with content)."""
     rows = pages.where("source is not null and page_id is not null").select(F.xxhash64("source").alias("source"), "page_id", "sections")
-    sections = materialize(line_keys(rows, least_chars), "line-keys")
-    n = sections.agg(F.sum(F.size("keys"))).first()[0] or 0
+    sections, n = counted(line_keys(rows, least_chars), "line-keys", F.sum(F.size("keys")))
 
     def ahead(of: DataFrame, done: int, depth: int) -> DataFrame:
         """``of`` (source, place, keys) with the ``depth`` keys after the first ``done``, 0 beyond the end."""
-        keys = (F.coalesce(F.try_element_at("keys", F.col("at") + F.lit(done + d + 1)), F.lit(0).cast("long")).alias(f"k{d}") for d in range(depth))
-        return of.select("source", *_PLACE, *keys)
+        return of.selectExpr("source", *_PLACE, *(f"coalesce(try_element_at(keys, at + {done + d + 1}), 0L) as k{d}" for d in range(depth)))
 
     each = sections.select("source", "page_id", "section_no", "version", "keys", F.posexplode("numbers").alias("at", "line_no"))
     depth, done = depths[0], 0
-    found = materialize(_blocks(ahead(each, 0, depth), n, least_pages, depth), "blocks")
+    found, n = counted(_blocks(ahead(each, 0, depth), n, least_pages, depth), "blocks", F.count_if(F.col("lines") == depth))
     parts = []
     while True:
         parts.append(found.where(F.col("lines") < done + depth))
-        longer = found.where(F.col("lines") == done + depth)
-        n = longer.count()
         if not n:
             break
+        longer = found.where(F.col("lines") == done + depth)
         # Suffixes that share a block of the whole depth are one source, sorted by the lines after it.
         done, depth = done + depth, depths[min(len(parts), len(depths) - 1)]
         with_keys = longer.withColumnRenamed("block", "source").join(sections.select("page_id", "section_no", "version", "keys").dropDuplicates(["page_id", "section_no", "version"]), ["page_id", "section_no", "version"])
         more = _blocks(ahead(with_keys, done, depth), n, least_pages, depth).withColumnRenamed("lines", "more").withColumnRenamed("block", "after")
         found = longer.join(more, _PLACE, "left").select(*_PLACE, (F.lit(done) + F.coalesce("more", F.lit(0))).alias("lines"), F.coalesce("after", "block").alias("block"))
-        found = materialize(found, "blocks")
+        found, n = counted(found, "blocks", F.count_if(F.col("lines") == done + depth))
     found = reduce(DataFrame.unionByName, parts)
     return found.groupBy("page_id", "section_no", "line_no").agg(F.max(F.struct("lines", "at")).alias("b")).select("page_id", "section_no", "line_no", "b.at", "b.lines")
 
