@@ -249,7 +249,7 @@ def tool_answers(spark, sf_dir):
     return spark.createDataFrame(found, "id int, answer string")
 
 
-_SOURCES = [("two failures, then a page", "ok waits 7.0 7.0"), ("no page", "HTTP error 404"), ("spacing", "0.5"), ("first of two", "second"), ("robots", "rules"), ("no robots", ""), ("robots out of reach", "none")]
+_SOURCES = [("two failures, then a page", "ok waits 7.0 7.0"), ("no page", "HTTP error 404"), ("spacing", "0.5, none for another host"), ("first of two", "second"), ("robots", "rules"), ("no robots", ""), ("robots out of reach", "none")]
 
 
 @query(values(_SOURCES, ["case", "result"]).replace("t(case,", 't("case",'))
@@ -270,8 +270,9 @@ def page_sources(spark, sf_dir):
         found.append(("no page", str(e)))
     waits.clear()
     spaced = HttpPages(spacing=0.5, opener=lambda u: u, sleep=waits.append)
-    spaced.get("a"), spaced.get("b")
-    found.append(("spacing", f"{waits[-1]:.1f}"))
+    for url in ("https://a.example/1", "https://b.example/1", "https://a.example/2"):
+        spaced.get(url)
+    found.append(("spacing", f"{waits[-1]:.1f}, none for another host" if len(waits) == 1 else str(waits)))
     found.append(("first of two", FirstOf(MemoryPages({}), MemoryPages({"u": "second"})).get("u")))
     found.append(("robots", robots_text(MemoryPages({"https://e.example/robots.txt": "rules"}), "https://e.example/a/b?c")))
     found.append(("no robots", robots_text(MemoryPages({}), "https://e.example/")))

@@ -1,7 +1,7 @@
 """Where pages come from: a protocol, HTTP with spacing and retries, pages in memory, and a Spark data source.
 
-Fetching runs on the executors inside one Arrow function. Spacing holds per Python worker; a fleet-wide rate is
-the number of tasks times that, so a crawl sets its number of partitions by the rate it may use.
+Fetching runs on the executors inside one Arrow function. All addresses of a host go to one task, where two requests
+to it keep their spacing: that is the rate of the whole fleet for this host, while hosts are fetched side by side.
 """
 
 from __future__ import annotations
@@ -12,12 +12,14 @@ import urllib.request
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 from typing import Protocol
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from loamdex.functions.urls import resolve
+from loamdex.functions.urls import part, resolve
 from loamdex.operators.python_columns import with_python_columns
 
 _PASSING = ("timeout", "timed out", "connection", "network", "http error 5", "http error 429")
@@ -47,11 +49,11 @@ class MemoryPages:
 
 
 class HttpPages:
-    """At least ``spacing`` seconds between two requests, up to ``retries`` more attempts after errors that may pass."""
+    """At least ``spacing`` seconds between two requests to one host, up to ``retries`` more attempts after errors that may pass."""
 
     def __init__(self, spacing: float = 0.25, timeout: float = 30, retries: int = 3, wait: float = 30, agent: str = "loamdex", opener: Callable[[str], str] | None = None, sleep: Callable[[float], None] = time.sleep):
         self.spacing, self.timeout, self.retries, self.wait, self.agent, self.opener, self.sleep = spacing, timeout, retries, wait, agent, opener, sleep
-        self.last = float("-inf")
+        self.last: dict[str, float] = {}
 
     def _open(self, url: str) -> str:
         if self.opener:
@@ -63,11 +65,12 @@ class HttpPages:
             raise ValueError(f"HTTP error {e.code}") from None
 
     def get(self, url: str) -> str:
+        host = urlsplit(url).netloc.lower()
         for k in range(self.retries + 1):
-            rest = self.last + self.spacing - time.monotonic()
+            rest = self.last.get(host, float("-inf")) + self.spacing - time.monotonic()
             if rest > 0:
                 self.sleep(rest)
-            self.last = time.monotonic()
+            self.last[host] = time.monotonic()
             try:
                 return self._open(url)
             except (OSError, ValueError) as e:
@@ -164,7 +167,7 @@ def robots_text(source: PageSource, url: str) -> str | None:
 
 
 def fetch_pages(frontier: DataFrame, source: PageSource) -> DataFrame:
-    """``frontier`` (url) with html, or the error that kept it away."""
+    """``frontier`` (url) with html, or the error that kept it away; a host's addresses are fetched by one task, one after another."""
 
     def compute(urls):
         for url in urls:
@@ -173,7 +176,8 @@ def fetch_pages(frontier: DataFrame, source: PageSource) -> DataFrame:
             except (OSError, ValueError) as e:
                 yield None, str(e)
 
-    return with_python_columns(frontier, ["url"], [("html", T.StringType()), ("error", T.StringType())], compute)
+    by_host = frontier.repartition(F.lower(part(F.col("url"), "HOST")))
+    return with_python_columns(by_host, ["url"], [("html", T.StringType()), ("error", T.StringType())], compute)
 
 
 class _Reader(DataSourceReader):
