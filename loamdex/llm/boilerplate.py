@@ -48,8 +48,9 @@ STEP_CHARS = 4 << 20
 _SPACE, _DIGITS = re.compile(r"\s+"), re.compile(r"[0-9]+")
 _FENCE = re.compile(r"\s*(?:```|~~~)")
 _ITEM = re.compile(r"(?:[-*+•]|[0-9]+[.)])\s+(.*)$")
-_LINK_ONLY = re.compile(r"\[([^\]]*)\]\(([^)\s]*)[^)]*\)$")
-_LINK = re.compile(r"\[([^\]]*)\]\([^)]*\)")
+# Possessive, and without a bracket inside: long lines of brackets take linear time.
+_LINK_ONLY = re.compile(r"\[([^\]]*+)\]\(([^)\s]*+)[^)]*+\)$")
+_LINK = re.compile(r"\[([^\[\]]*+)\]\([^()]*+\)")
 _HEADING = re.compile(r"(#{1,6})\s+(.*)$")
 _QUOTE = re.compile(r"[“\"«„][^“”\"«»„]+[”\"»“]")
 _LABEL = re.compile(r"(?:^|(?<=\s))[^\W\d_]+:(?=\s)")

@@ -1,4 +1,5 @@
 import random
+import time
 
 from loamdex.llm import boilerplate as bp
 
@@ -68,6 +69,15 @@ def test_unique_content_stays(spark):
     assert bp.template_lines(spark.createDataFrame(rows, "host string, page_id long, title string, raw_text string")).count() == 0
 
 
+def test_long_lines():
+    """Lines of a million characters that almost are links, quotations or labels take linear time."""
+    began = time.time()
+    for part in ("[", "[x](", "[x](y ", "“x ", "a: ", "- [", "x › ", "# ", "`", "← "):
+        top, filled, _ = bp.elements("# T\n" + part * (1_000_000 // len(part)) + "\n- [a](" + part * 200_000, "T")
+        assert (top, filled) == (0, [0, 1, 2])
+    assert time.time() - began < 60
+
+
 def test_shared_sentences(spark):
     """A sentence that many pages share stays between what is the page's own, and goes above the title and at the end."""
     rows = [("h", k, f"T {chr(97 + k)}", f"We use cookies here.\n# T {chr(97 + k)}\nNote: read this first.\nOwn {chr(97 + k)} text.\nAll is without warranty.") for k in range(10)]
