@@ -85,6 +85,17 @@ class Draws:
         above = np.concatenate([np.cumsum(self.tokens[::-1])[::-1], [0.0]])
         return float(np.interp(steps, self.edges, above).sum())
 
+    def drawn_whole(self, steps: np.ndarray) -> float:
+        """Tokens drawn with these steps, those of a cell taken as lying at its middle."""
+        above = np.concatenate([np.cumsum(self.tokens[::-1])[::-1], [0.0]])
+        return float(above[np.searchsorted((self.edges[1:] + self.edges[:-1]) / 2, steps)].sum())
+
+    def at_edges(self, steps: np.ndarray) -> np.ndarray:
+        """The steps, each inside a cell that holds tokens moved to the edge that keeps the cell on the side of its middle."""
+        k = np.minimum(np.searchsorted(self.edges, steps, "right") - 1, len(self.tokens) - 1)
+        low, high = self.edges[k], self.edges[k + 1]
+        return np.where(self.tokens[k] > 0, np.where(steps > (low + high) / 2, high, low), steps)
+
     def in_doubt(self, steps: np.ndarray) -> dict[tuple[int, int], float]:
         """Cells that hold a step, with their tokens."""
         inside = np.unique(np.searchsorted(self.edges, steps, "right") - 1)
@@ -104,19 +115,21 @@ class Draws:
         self.tokens = np.concatenate([self.tokens[:k], [tokens.get(start + p, 0) for p in parts.tolist()], self.tokens[k + 1 :]])
 
 
-def calibrated(draws: Draws, target: float, most: int) -> np.ndarray:
-    """The steps for which the tokens drawn come closest to ``target``."""
+def calibrated(draws: Draws, target: float, most: int, settled: bool = False) -> np.ndarray:
+    """The steps for which the tokens drawn come closest to ``target``. ``settled``: a cell is drawn whole or not at all, and a step inside a cell goes to its edge."""
     if most <= 0 or target <= 0:
         return np.zeros(0)
     if most * draws.total <= target:
         return steps_of(np.inf, most)
+    drawn = draws.drawn_whole if settled else draws.drawn
     lo, hi = 0.0, 1.0
-    while draws.drawn(steps_of(hi, most)) < target and hi < 1e9:
+    while drawn(steps_of(hi, most)) < target and hi < 1e9:
         hi *= 2
     for _ in range(70):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if draws.drawn(steps_of(mid, most)) < target else (lo, mid)
-    return min((steps_of(lo, most), steps_of(hi, most)), key=lambda s: abs(draws.drawn(s) - target))
+        lo, hi = (mid, hi) if drawn(steps_of(mid, most)) < target else (lo, mid)
+    best = min((steps_of(lo, most), steps_of(hi, most)), key=lambda s: abs(drawn(s) - target))
+    return draws.at_edges(best) if settled else best
 
 
 def plan_of(sizes: DataFrame, goals: list[tuple[str, float, int]]) -> list[tuple[str, float, int, float, list[float]]]:
@@ -146,7 +159,7 @@ def plan_of(sizes: DataFrame, goals: list[tuple[str, float, int]]) -> list[tuple
             found.setdefault((r.source, r.cell), {})[r.part] = r.n
         for source, number in doubt:
             draws[source].cut(level, number, found.get((source, number), {}))
-    return [(source, share, most, share * total, steps[source].tolist()) for source, share, most in goals]
+    return [(source, share, most, share * total, calibrated(draws.get(source, none), share * total, most, True).tolist()) for source, share, most in goals]
 
 
 _STEPS = "source string, target_share double, max_repeats long, target_tokens double, steps array<double>"

@@ -25,6 +25,16 @@ def test_any_rate_is_met(spark):
         assert abs(got.n - n * rate) <= max(1, 0.002 * n * rate) and got.m <= most
 
 
+def test_sizes_that_differ_much(spark):
+    """Off by no more than half of the largest document."""
+    rows = spark.range(400).select(mx.F.lit("a").alias("source"), mx.draw(17, mx.F.col("id")).alias("draw"), mx.F.expr("if(id % 7 = 0, 3000 + id, 5 + id % 50)").cast("long").alias("n_tokens"))
+    total = rows.agg(mx.F.sum("n_tokens")).first()[0]
+    for share in (0.02, 0.3, 0.9, 1.7):
+        goals = spark.createDataFrame(mx.plan_of(rows, [("a", share, 3)]), mx._STEPS)
+        got = mx._copies(rows, goals).agg(mx.F.sum(mx.F.col("copies") * mx.F.col("n_tokens"))).first()[0]
+        assert abs(got - share * total) <= 1710
+
+
 def test_shares(spark, sf):
     sf = sf.replace("sf0.001", "sf0.01")
     copies = mx.p7_mixture(spark, sf)
