@@ -206,3 +206,44 @@ def test_crawl_goes_on_until_nothing_is_left(spark):
     got = crawl(seeds, lambda f: f.join(F.broadcast(table), "url"), F.col("base_url"))
     assert {r.url: r.depth for r in got.select("url", "depth").collect()} == {f"https://e.com/p{k}": k for k in range(52)}
     assert got.count() == 52
+
+
+def test_approximate_index(spark, tmp_path):
+    rows = [(f"{k:02}", [float(k % 5), float(k // 5)]) for k in range(50)] + [("none", None), ("03", [3.0, 0.0])]
+    df = spark.createDataFrame(rows, "id string, vector array<float>")
+    index = search.ApproximateIndex.build(df, str(tmp_path / "i"))
+    assert spark.read.parquet(str(tmp_path / "i")).count() == 51  # every row with a vector
+    queries = df.where("id in ('00', '24')").withColumnRenamed("id", "query_id")
+    exact = sorted(map(tuple, search.batch_top_k(queries, df.dropDuplicates(["id"]), 3).select("query_id", "id", "rank").collect()))
+    index = search.ApproximateIndex.build(df.dropDuplicates(["id"]), str(tmp_path / "j"))
+    assert sorted(map(tuple, index.search(queries, 3, probes=1.0).select("query_id", "id", "rank").collect())) == exact
+    assert index.search(queries.limit(0), 3).count() == 0
+    empty = search.ApproximateIndex.build(df.limit(0), str(tmp_path / "e"))
+    assert empty.centres.shape[0] == 0
+
+
+def test_scratch_needs_a_shared_folder(spark):
+    from loamdex.plans import scratch
+
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda name, default: None)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077", "getConf": staticmethod(lambda: Session.conf)})  # noqa: N815
+
+    with pytest.raises(RuntimeError):
+        scratch.scratch_root(Session)
+    with scratch.released(spark):
+        table, n = scratch.counted(spark.range(7), "seven")
+        assert n == table.count() == 7
+        path = scratch._made[-1]
+    assert path not in scratch._made
+
+
+def test_update_keeps_the_site(engine):
+    site = engine.add_site("https://e.com/docs/", "Example", "1.0")
+    engine.index_site(site, engine.crawl_site(site, SITE))
+    assert engine.update_site("example", MemoryPages({})) == site
+    row = engine.sites.first()
+    assert (row.status, row.error_message) == ("failed", "All 1 crawl attempts failed") and engine.chunks.count() == 4
+    assert engine.update_site(str(site), SITE) == site and engine.sites.first().status == "completed" and engine.chunks.count() == 4
+    with pytest.raises(EngineError):
+        engine.update_site("other", SITE)
