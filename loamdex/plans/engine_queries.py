@@ -146,7 +146,8 @@ def vector_dimension_check(spark, sf_dir):
 # --- catalogue
 
 
-@query("select id, name, version, index_url as url, status, indexed_pages as page_count, strftime(indexed_date, '%Y-%m-%dT%H:%M:%SZ') as indexed_date from sites where status = 'completed'")
+@query("""select id, name, version, index_url as url, status, indexed_pages as page_count, strftime(indexed_date, '%Y-%m-%dT%H:%M:%SZ') as indexed_date
+ from sites where status = 'completed'""")
 def list_sites_completed(spark, sf_dir):
     """Completed sites as the tool lists them."""
     return C.list_sites(_Tables(spark, sf_dir).sites)
@@ -173,7 +174,10 @@ def sites_completed_order(spark, sf_dir):
     return C.completed_sites(_Tables(spark, sf_dir).sites).select("id", "index_url")
 
 
-@query("select id, name from sites where id = 3 union all select id, name from sites where index_url like '%kestreldock%latest/' union all (select id, name from sites where lower(name) like '%harrow%' order by created_date desc, id limit 1)")
+@query("""select id, name from sites where id = 3 union all select id, name
+ from sites where index_url like '%kestreldock%latest/'
+ union all (select id, name from sites where lower(name) like '%harrow%'
+ order by created_date desc, id limit 1)""")
 def site_lookups(spark, sf_dir):
     """A site by id, by index address and by part of its name."""
     s = _Tables(spark, sf_dir).sites
@@ -196,7 +200,9 @@ def site_status_summary(spark, sf_dir):
     return C.status_summary(_Tables(spark, sf_dir).sites)
 
 
-@query("select id, status = 'completed' as is_completed, status in ('pending', 'indexing') as is_active, status = 'failed' as is_failed, status = 'completed' or progress_percent = 100 as is_done from sites")
+@query("""select id, status = 'completed' as is_completed, status in ('pending', 'indexing') as is_active, status = 'failed' as is_failed,
+ status = 'completed' or progress_percent = 100 as is_done
+ from sites""")
 def site_status_flags(spark, sf_dir):
     return C.status_flags(_Tables(spark, sf_dir).sites)
 
@@ -208,22 +214,30 @@ def site_statistics(spark, sf_dir):
     return C.site_statistics(t.sites, t.queue, t.chunks).select("id", "total_chunks", "pending_crawl_items", "failed_crawl_items")
 
 
-@query("select count(*) as total, count(*) filter (status = 'pending') as pending, count(*) filter (status = 'processing') as processing, count(*) filter (status = 'completed') as completed, count(*) filter (status = 'failed') as failed from q where site_id = 1")
+@query("""select count(*) as total, count(*) filter (status = 'pending') as pending, count(*) filter (status = 'processing') as processing,
+ count(*) filter (status = 'completed') as completed, count(*) filter (status = 'failed') as failed
+ from q where site_id = 1""")
 def queue_stats(spark, sf_dir):
     return C.queue_stats(_Tables(spark, sf_dir).queue, 1)
 
 
-@query("select site_id, count(*) as total, count(*) filter (status = 'pending') as pending, count(*) filter (status = 'processing') as processing, count(*) filter (status = 'completed') as completed, count(*) filter (status = 'failed') as failed from q where site_id is not null group by all")
+@query("""select site_id, count(*) as total, count(*) filter (status = 'pending') as pending, count(*) filter (status = 'processing') as processing,
+ count(*) filter (status = 'completed') as completed, count(*) filter (status = 'failed') as failed
+ from q where site_id is not null group by all""")
 def queue_stats_by_site(spark, sf_dir):
     return C.queue_stats_by_site(_Tables(spark, sf_dir).queue)
 
 
-@query("select site_id, n as total_pages, k as indexed_pages, cast(trunc((cast(k as double) / n) * 100.0) as bigint) as progress_percent from (select site_id, count(*) as n, count(*) filter (status = 'completed') as k from q where site_id is not null group by all)")
+@query("""select site_id, n as total_pages, k as indexed_pages, cast(trunc((cast(k as double) / n) * 100.0) as bigint) as progress_percent
+ from (select site_id, count(*) as n, count(*) filter (status = 'completed') as k
+ from q where site_id is not null group by all)""")
 def crawl_progress(spark, sf_dir):
     return C.crawl_progress(_Tables(spark, sf_dir).queue)
 
 
-@query("select site_id, id, url from (select *, row_number() over (partition by site_id order by created_date, id) as n from q where site_id is not null and (status = 'pending' or (status = 'failed' and retry_count < 3))) where n = 1")
+@query("""select site_id, id, url from (select *, row_number() over (partition by site_id
+ order by created_date, id) as n from q where site_id is not null and (status = 'pending' or (status = 'failed' and retry_count < 3)))
+ where n = 1""")
 def next_pending_per_site(spark, sf_dir):
     """The item that each site's crawl takes up next."""
     return C.next_items(_Tables(spark, sf_dir).queue).select("site_id", "id", "url")
@@ -249,7 +263,8 @@ def chunk_count_by_site(spark, sf_dir):
     return C.chunk_counts(_Tables(spark, sf_dir).chunks)
 
 
-@query("select id, site_id, url from q where status = 'completed' and site_id is not null and not exists (select 1 from c where c.site_id = q.site_id and c.url = q.url)")
+@query("""select id, site_id, url from q where status = 'completed' and site_id is not null and not exists (select 1
+ from c where c.site_id = q.site_id and c.url = q.url)""")
 def pages_needing_index(spark, sf_dir):
     """Crawled pages without chunks."""
     t = _Tables(spark, sf_dir)
@@ -268,7 +283,9 @@ def duplicate_queue_urls(spark, sf_dir):
     return C.duplicate_urls(_Tables(spark, sf_dir).queue)
 
 
-@query(f"select id, cast(floor(epoch(timestamp '{_NOW}' - last_heartbeat)) as bigint) as seconds_since, coalesce(floor(epoch(timestamp '{_NOW}' - last_heartbeat)) < 120, false) as is_active from sites")
+@query(f"""select id, cast(floor(epoch(timestamp '{_NOW}' - last_heartbeat)) as bigint) as seconds_since,
+ coalesce(floor(epoch(timestamp '{_NOW}' - last_heartbeat)) < 120, false) as is_active
+ from sites""")
 def site_heartbeats(spark, sf_dir):
     return C.heartbeat_activity(_Tables(spark, sf_dir).sites, _now())
 
@@ -281,19 +298,26 @@ def heartbeat_activity(spark, sf_dir):
     return C.heartbeat_activity(last, F.lit(e.agg(F.max("ts").cast("string")).first()[0]).cast("timestamp_ntz"))
 
 
-@query("select site_id, count(*) as total_crawled, count(*) filter (o = 'successful') as successful, count(*) filter (o = 'failed') as failed, count(*) filter (o = 'robots_blocked') as robots_blocked from (select site_id, case status when 'completed' then 'successful' when 'failed' then 'failed' else 'robots_blocked' end as o from q where site_id is not null) group by all")
+@query("""select site_id, count(*) as total_crawled, count(*) filter (o = 'successful') as successful, count(*) filter (o = 'failed') as failed,
+ count(*) filter (o = 'robots_blocked') as robots_blocked
+ from (select site_id, case status when 'completed' then 'successful' when 'failed' then 'failed' else 'robots_blocked' end as o
+ from q where site_id is not null) group by all""")
 def crawl_counters(spark, sf_dir):
     rows = _Tables(spark, sf_dir).queue.where("site_id is not null")
     return C.crawl_counters(rows.select("site_id", F.when(F.col("status") == "completed", "successful").when(F.col("status") == "failed", "failed").otherwise("robots_blocked").alias("outcome")))
 
 
-@query("select id, upper(status[1]) || lower(status[2:]) as label, strftime(created_date, '%Y-%m-%d %H:%M:%S') as created, strftime(created_date, '%Y-%m-%dT%H:%M:%SZ') as created_iso from q")
+@query("""select id, upper(status[1]) || lower(status[2:]) as label, strftime(created_date, '%Y-%m-%d %H:%M:%S') as created,
+ strftime(created_date, '%Y-%m-%dT%H:%M:%SZ') as created_iso
+ from q""")
 def queue_display(spark, sf_dir):
     """Labels and dates as shown to people."""
     return _Tables(spark, sf_dir).queue.select("id", X.display(F.col("status")).alias("label"), X.plain_date(F.col("created_date")).alias("created"), X.iso_date(F.col("created_date")).alias("created_iso"))
 
 
-@query("select coalesce(error_message, '') as message, regexp_matches(lower(coalesce(error_message, '')), 'timeout|connection|network|http error 5|http error 429') as is_retryable, count(*) as items from q group by all")
+@query("""select coalesce(error_message, '') as message,
+ regexp_matches(lower(coalesce(error_message, '')), 'timeout|connection|network|http error 5|http error 429') as is_retryable, count(*) as items
+ from q group by all""")
 def retryable_errors(spark, sf_dir):
     m = F.coalesce("error_message", F.lit(""))
     return _Tables(spark, sf_dir).queue.groupBy(m.alias("message"), X.retryable(m).alias("is_retryable")).agg(F.count("*").alias("items"))
@@ -324,17 +348,23 @@ def orphaned_vectors(spark, sf_dir):
     return O.orphaned_vectors(_state(spark, sf_dir))
 
 
-@query(_STATE + "select site_id, count(*) filter (state <> 'orphaned') as chunks, count(*) filter (state = 'present') as present, count(*) filter (state = 'missing') as missing, count(*) filter (state = 'orphaned') as orphaned from st group by all having count(*) filter (state <> 'present') > 0")
+@query(_STATE + """select site_id, count(*) filter (state <> 'orphaned') as chunks, count(*) filter (state = 'present') as present,
+ count(*) filter (state = 'missing') as missing, count(*) filter (state = 'orphaned') as orphaned
+ from st group by all having count(*) filter (state <> 'present') > 0""")
 def consistency_by_site(spark, sf_dir):
     return O.consistency_by_site(_state(spark, sf_dir))
 
 
-@query(_STATE + "select count(*) filter (state <> 'orphaned') as chunks, count(*) filter (state <> 'missing') as vectors, count(*) filter (state = 'missing') as missing, count(*) filter (state = 'orphaned') as orphaned, count(*) filter (state <> 'present') as issues, count(*) filter (state <> 'present') = 0 as is_consistent from st")
+@query(_STATE + """select count(*) filter (state <> 'orphaned') as chunks, count(*) filter (state <> 'missing') as vectors,
+ count(*) filter (state = 'missing') as missing, count(*) filter (state = 'orphaned') as orphaned, count(*) filter (state <> 'present') as issues,
+ count(*) filter (state <> 'present') = 0 as is_consistent
+ from st""")
 def consistency_totals(spark, sf_dir):
     return O.consistency_totals(_state(spark, sf_dir))
 
 
-@query(_STATE + "select case when sum(case when state <> 'present' then 1 else 0 end) = 0 then 'consistent' else format('{} issues: {} chunks without vector, {} vectors without chunk ({} chunks, {} vectors)', count(*) filter (state <> 'present'), count(*) filter (state = 'missing'), count(*) filter (state = 'orphaned'), count(*) filter (state <> 'orphaned'), count(*) filter (state <> 'missing')) end as summary from st")
+@query(_STATE + """select case when sum(case when state <> 'present' then 1 else 0 end) = 0 then 'consistent' else format('{} issues: {} chunks without vector, {} vectors without chunk ({} chunks, {} vectors)', count(*) filter (state <> 'present'), count(*) filter (state = 'missing'), count(*) filter (state = 'orphaned'), count(*) filter (state <> 'orphaned'), count(*) filter (state <> 'missing')) end as summary
+ from st""")
 def consistency_summary(spark, sf_dir):
     return O.summary(O.consistency_totals(_state(spark, sf_dir)))
 
@@ -357,7 +387,10 @@ def enqueue_upsert(spark, sf_dir):
     return got.select(F.when(F.col("id") >= 2**62, -1).otherwise(F.col("id")).alias("id"), "site_id", "url", "status", "retry_count", "created_date")
 
 
-@query("select id, name, version, case when id % 3 = 0 then 'failed' else status end as status, case when id % 3 = 0 then null else error_message end as error_message, case when id % 3 = 0 and id % 2 = 0 then total_pages + 1 else total_pages end as total_pages from sites")
+@query("""select id, name, version, case when id % 3 = 0 then 'failed' else status end as status,
+ case when id % 3 = 0 then null else error_message end as error_message,
+ case when id % 3 = 0 and id % 2 = 0 then total_pages + 1 else total_pages end as total_pages
+ from sites""")
 def sparse_site_update(spark, sf_dir):
     """Sites after a sparse update: nulls keep what is there, except for a column that is cleared."""
     s = _Tables(spark, sf_dir).sites
@@ -365,14 +398,21 @@ def sparse_site_update(spark, sf_dir):
     return D.sparse_update(s, changes, clear=["error_message"]).select("id", "name", "version", "status", "error_message", "total_pages")
 
 
-@query("select id, case when status = 'processing' then 'failed' else status end as status, retry_count + case when status = 'processing' then 1 else 0 end as retry_count, case when status = 'processing' then 'timeout' else error_message end as error_message from q")
+@query("""select id, case when status = 'processing' then 'failed' else status end as status,
+ retry_count + case when status = 'processing' then 1 else 0 end as retry_count,
+ case when status = 'processing' then 'timeout' else error_message end as error_message
+ from q""")
 def retry_increment(spark, sf_dir):
     """The queue after all items in processing failed."""
     q = _Tables(spark, sf_dir).queue
     return D.set_status(q, q.where("status = 'processing'").select("id", F.lit("failed").alias("status"), F.lit("timeout").alias("error_message"))).select("id", "status", "retry_count", "error_message")
 
 
-@query("select 'sites' as t, count(*) as rows from sites where status <> 'failed' union all select 'queue', count(*) from q where site_id is null or site_id not in (select id from sites where status = 'failed') union all select 'chunks', count(*) from c where site_id is null or site_id not in (select id from sites where status = 'failed')")
+@query("""select 'sites' as t, count(*) as rows from sites where status <> 'failed'
+ union all select 'queue', count(*) from q where site_id is null or site_id not in (select id
+ from sites where status = 'failed') union all select 'chunks', count(*)
+ from c where site_id is null or site_id not in (select id
+ from sites where status = 'failed')""")
 def delete_site_cascade(spark, sf_dir):
     """What is left once all failed sites are deleted, with their queue items and chunks."""
     t = _Tables(spark, sf_dir)
@@ -381,7 +421,13 @@ def delete_site_cascade(spark, sf_dir):
     return count("sites", sites).unionByName(count("queue", queue)).unionByName(count("chunks", chunks))
 
 
-@query("select 'crawl_queue' as table, 'missing value' as problem, count(*) as rows from crawl_queue where site_id is null having count(*) > 0 union all select 'crawl_queue', 'repeated id', cast(sum(n) as bigint) from (select count(*) as n from crawl_queue group by id having count(*) > 1) having sum(n) > 0 union all select 'indexed_chunks', 'repeated id', cast(sum(n) as bigint) from (select count(*) as n from indexed_chunks group by id having count(*) > 1) having sum(n) > 0")
+@query("""select 'crawl_queue' as table, 'missing value' as problem, count(*) as rows
+ from crawl_queue where site_id is null having count(*) > 0
+ union all select 'crawl_queue', 'repeated id', cast(sum(n) as bigint)
+ from (select count(*) as n from crawl_queue group by id
+ having count(*) > 1) having sum(n) > 0 union all select 'indexed_chunks', 'repeated id', cast(sum(n) as bigint)
+ from (select count(*) as n from indexed_chunks group by id
+ having count(*) > 1) having sum(n) > 0""")
 def integrity_check(spark, sf_dir):
     """Broken row rules and repeated keys of the raw tables."""
     from loamdex import schemas
@@ -400,7 +446,8 @@ def _tokens(t: str) -> str:
 
 
 
-@query(f"select doc_id, {_tokens('text')} as tokens, contains(text, '```') or regexp_matches(text, '(?m)^ {{4}}') as has_code from documents where text is not null")
+@query(f"""select doc_id, {_tokens('text')} as tokens, contains(text, '```') or regexp_matches(text, '(?m)^ {{4}}') as has_code
+ from documents where text is not null""")
 def token_estimates(spark, sf_dir):
     d = _Tables(spark, sf_dir).documents.where("text is not null")
     return d.select("doc_id", X.estimated_tokens(F.col("text")).alias("tokens"), X.has_code(F.col("text")).alias("has_code"))
@@ -412,20 +459,27 @@ def avg_tokens_by_source(spark, sf_dir):
     return C.average_tokens(d, "source")
 
 
-@query(f"select case when n <= 160 then 'small' when n <= 640 then 'one chunk' when n <= 1024 then 'above target' else 'above maximum' end as size, count(*) as documents from (select {_tokens('text')} as n from documents where text is not null) group by all")
+@query(f"""select case when n <= 160 then 'small' when n <= 640 then 'one chunk' when n <= 1024 then 'above target' else 'above maximum' end as size,
+ count(*) as documents
+ from (select {_tokens('text')} as n from documents where text is not null)
+ group by all""")
 def token_histogram(spark, sf_dir):
     n = X.estimated_tokens(F.col("text"))
     size = F.when(n <= 160, "small").when(n <= 640, "one chunk").when(n <= 1024, "above target").otherwise("above maximum")
     return _Tables(spark, sf_dir).documents.where("text is not null").groupBy(size.alias("size")).agg(F.count("*").alias("documents"))
 
 
-@query(f"select doc_id, case when len(w) > 60 then array_to_string(w[-60:], ' ') else '' end as tail from (select doc_id, regexp_extract_all(text, '{_WS}') as w from documents where text is not null)")
+@query(f"""select doc_id, case when len(w) > 60 then array_to_string(w[-60:], ' ') else '' end as tail
+ from (select doc_id, regexp_extract_all(text, '{_WS}') as w
+ from documents where text is not null)""")
 def overlap_tail(spark, sf_dir):
     """What the next chunk of each document would begin with."""
     return _Tables(spark, sf_dir).documents.where("text is not null").select("doc_id", X.overlap_tail(F.col("text"), 80).alias("tail"))
 
 
-@query(r"select doc_id, i as part, trim(p, chr(32) || chr(9) || chr(10) || chr(13)) as content from (select doc_id, unnest(string_split(text, chr(10) || chr(10))) as p, cast(generate_subscripts(string_split(text, chr(10) || chr(10)), 1) - 1 as integer) as i from documents where text is not null) where regexp_matches(p, '[^\s\x0b\x{85}\p{Z}]')")
+@query(r"""select doc_id, i as part, trim(p, chr(32) || chr(9) || chr(10) || chr(13)) as content
+ from (select doc_id, unnest(string_split(text, chr(10) || chr(10))) as p, cast(generate_subscripts(string_split(text, chr(10) || chr(10)), 1) - 1 as integer) as i
+ from documents where text is not null) where regexp_matches(p, '[^\s\x0b\x{85}\p{Z}]')""")
 def paragraph_split(spark, sf_dir):
     """Paragraphs of every document, blank ones left out."""
     d = _Tables(spark, sf_dir).documents.where("text is not null")
@@ -487,13 +541,18 @@ def page_host_path(spark, sf_dir):
     return _Tables(spark, sf_dir).queue.select("id", U.part(F.col("url"), "HOST").alias("host"), U.part(F.col("url"), "PATH").alias("path"))
 
 
-@query(rf"select id, case when p like '%/' then p when regexp_matches(p, '/[^/]*\.[^/]*$') then regexp_replace(p, '[^/]*$', '') else p || '/' end as directory, regexp_replace(p, '/index\.[a-zA-Z0-9]+$', '/') as without_index from (select id, {_PATH} as p from q)")
+@query(rf"""select id, case when p like '%/' then p when regexp_matches(p, '/[^/]*\.[^/]*$') then regexp_replace(p, '[^/]*$', '') else p || '/' end as directory,
+ regexp_replace(p, '/index\.[a-zA-Z0-9]+$', '/') as without_index
+ from (select id, {_PATH} as p from q)""")
 def normalized_base_path(spark, sf_dir):
     p = U.part(F.col("url"), "PATH")
     return _Tables(spark, sf_dir).queue.select("id", U.directory(p).alias("directory"), U.without_index(p).alias("without_index"))
 
 
-@query(r"select id, regexp_extract(index_url, '^([a-zA-Z]+://[^/?#]+)', 1) || '/robots.txt' as robots, case when p = '' then h else h || ' ' || replace(p, '/', ' ') end as default_name from (select id, index_url, regexp_extract(index_url, '^[a-zA-Z]+://([^/?#:]+)', 1) as h, regexp_extract(index_url, '^[a-zA-Z]+://[^/?#]+/([^?#]*)', 1) as p from sites)")
+@query(r"""select id, regexp_extract(index_url, '^([a-zA-Z]+://[^/?#]+)', 1) || '/robots.txt' as robots,
+ case when p = '' then h else h || ' ' || replace(p, '/', ' ') end as default_name
+ from (select id, index_url, regexp_extract(index_url, '^[a-zA-Z]+://([^/?#:]+)', 1) as h, regexp_extract(index_url, '^[a-zA-Z]+://[^/?#]+/([^?#]*)', 1) as p
+ from sites)""")
 def site_addresses(spark, sf_dir):
     """Where each site's robots rules are, and what it would be called."""
     return _Tables(spark, sf_dir).sites.select("id", U.robots_url(F.col("index_url")).alias("robots"), U.default_site_name(F.col("index_url")).alias("default_name"))
@@ -512,7 +571,9 @@ def urls_in_scope(spark, sf_dir):
 _ROBOTS = "User-agent: *\nDisallow: /docs/\nAllow: /docs/a # open\n\nUser-agent: Loambot\nDisallow: /book/*\n"
 
 
-@query(rf"select id, case when p = '' then '/' else p end as path, not (starts_with(case when p = '' then '/' else p end, '/book/')) and (starts_with(p, '/docs/a') or not starts_with(p, '/docs/')) as allowed from (select id, {_PATH} as p from q)")
+@query(rf"""select id, case when p = '' then '/' else p end as path,
+ not (starts_with(case when p = '' then '/' else p end, '/book/')) and (starts_with(p, '/docs/a') or not starts_with(p, '/docs/')) as allowed
+ from (select id, {_PATH} as p from q)""")
 def robots_filter(spark, sf_dir):
     """Addresses that one robots.txt leaves open to an agent."""
     q = _Tables(spark, sf_dir).queue
