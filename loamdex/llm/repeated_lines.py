@@ -31,8 +31,8 @@ from loamdex.sources.tables import table
 
 #: Lines by which suffixes are sorted in the first pass, in the second, and in each after that.
 DEPTHS = (6, 32, 128)
-#: Line identifiers (suffixes times depth) that one task sorts and holds.
-TASK_KEYS = 2_000_000
+#: Line identifiers (suffixes times depth) that one task sorts and holds at most, and below which more tasks aren't worth it.
+TASK_KEYS, LEAST_KEYS = 2_000_000, 200_000
 
 
 def plain_line(line: Column) -> Column:
@@ -112,10 +112,15 @@ def _scan(least_pages: int, depth: int):
     return scan
 
 
+def tasks_for(keys: int, cores: int) -> int:
+    """Tasks for so many keys: as many as there are cores, but fewer for little work, and more where a task would hold too much."""
+    return max(1, min(-(-keys // LEAST_KEYS), max(cores, -(-keys // TASK_KEYS))))
+
+
 def _blocks(suffixes: DataFrame, n: int, least_pages: int, depth: int) -> DataFrame:
     """Of each of the ``n`` suffixes (source, place, k0 ..) that begins with a repeated block its place, and lines (up to ``depth``) and hash of the longest."""
     order = ["source", *(f"k{d}" for d in range(depth)), "page_id"]
-    tasks = max(suffixes.sparkSession.sparkContext.defaultParallelism, -(-n * depth // TASK_KEYS))
+    tasks = tasks_for(n * depth, suffixes.sparkSession.sparkContext.defaultParallelism)
     array = suffixes.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
     seen = materialize(array.mapInArrow(_scan(least_pages, depth), "page_id long, section_no int, version long, at int, line_no int, kind int, lines int, block long"), "suffix-blocks")
     # What both sides of an edge know of a block is a few rows for each partition it reaches into.

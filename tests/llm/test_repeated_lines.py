@@ -91,6 +91,22 @@ def test_blocks_of_any_length(spark, depths):
     assert blocks == {(p, a): n for (p, a), n in want.items() if n >= 2 and want.get((p, a - 1), 0) <= n}
 
 
+def test_tasks_grow_with_the_rows():
+    assert [rl.tasks_for(n, 8) for n in (0, 1, 200_001, 3_000_000, 10_000_000, 100_000_000)] == [1, 1, 2, 8, 8, 50]
+
+
+@pytest.mark.parametrize("keys", [5, 60])
+def test_rows_do_not_depend_on_tasks(spark, monkeypatch, keys):
+    """Many small tasks, so that blocks reach over their edges: the rows of brute force."""
+    monkeypatch.setattr(rl, "TASK_KEYS", keys)
+    monkeypatch.setattr(rl, "LEAST_KEYS", keys)
+    rng = random.Random(5)
+    common = [f"Common furniture line {x}" for x in "abcdef"]
+    rows = [("s", p, [("h", "\n".join(rng.choice([*common, f"own words {chr(97 + p)} and more"]) for _ in range(8)))]) for p in range(12)]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA)
+    assert {(r.page_id, r.section_no, r.line_no) for r in rl.repeated_lines(df, depths=(3, 2)).collect()} == brute(rows)
+
+
 def test_website_spelling(spark):
     df = spark.createDataFrame([("https://Docs.A.example/x/",), ("http://docs.a.example/x",)], "u string")
     assert {r.w for r in df.select(rl.website(df.u).alias("w")).collect()} == {"docs.a.example/x"}
