@@ -97,16 +97,25 @@ class Settings:
     def load(cls, folder: str | Path) -> Settings:
         """The folder's settings; a missing file or section has the defaults, a missing value its default."""
         at = Path(folder)
-        given = tomllib.loads((at / "config.toml").read_text()) if (at / "config.toml").exists() else {}
-        return cls(EmbedSettings(**given.get("embedding", {})), ChunkSettings(**given.get("chunking", {})), at).check()
+        return cls.parsed((at / "config.toml").read_text() if (at / "config.toml").exists() else "", at)
 
-    def save(self) -> None:
-        """Written once they are within bounds."""
+    @classmethod
+    def parsed(cls, text: str, folder: Path) -> Settings:
+        """The settings of a TOML text."""
+        given = tomllib.loads(text)
+        return cls(EmbedSettings(**given.get("embedding", {})), ChunkSettings(**given.get("chunking", {})), folder).check()
+
+    def text(self) -> str:
+        """As TOML, once they are within bounds."""
         self.check()
         said = lambda v: str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else '"' + str(v).replace("\\", "\\\\").replace('"', '\\"') + '"'
         parts = [f"[{name}]\n" + "".join(f"{k} = {said(v)}\n" for k, v in asdict(part).items()) for name, part in (("embedding", self.embedding), ("chunking", self.chunking))]
+        return "\n".join(parts)
+
+    def save(self) -> None:
+        text = self.text()
         self.folder.mkdir(parents=True, exist_ok=True)
-        self.file.write_text("\n".join(parts))
+        self.file.write_text(text)
 
 
 def asked(settings: Settings, ask: Callable[[str], str] = input, say: Callable[[str], None] = print, test: Callable[[EmbedSettings], None] | None = None) -> Settings:

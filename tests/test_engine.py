@@ -236,14 +236,3 @@ def test_scratch_needs_a_shared_folder(spark):
         assert n == table.count() == 7
         path = scratch._made[-1]
     assert path not in scratch._made
-
-
-def test_update_keeps_the_site(engine):
-    site = engine.add_site("https://e.com/docs/", "Example", "1.0")
-    engine.index_site(site, engine.crawl_site(site, SITE))
-    assert engine.update_site("example", MemoryPages({})) == site
-    row = engine.sites.first()
-    assert (row.status, row.error_message) == ("failed", "All 1 crawl attempts failed") and engine.chunks.count() == 4
-    assert engine.update_site(str(site), SITE) == site and engine.sites.first().status == "completed" and engine.chunks.count() == 4
-    with pytest.raises(EngineError):
-        engine.update_site("other", SITE)
